@@ -22,6 +22,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(common.read(spark, sf_dir, "embeddings"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -37,18 +43,40 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", (fold == 1).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(common.read(spark, sf_dir, "pages"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(common.only(common.read(spark, sf_dir, "pages"), "page_id", "html"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
     return best_fit_packing(common.read(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(common.read(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_exact_topk": op3_exact_topk,
     "op4_fingerprints": op4_fingerprints,
     "op6_language_id": op6_language_id,
+    "op7_url_filters": op7_url_filters,
+    "op8_html_extraction": op8_html_extraction,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
