@@ -34,6 +34,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(common.read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, digest, find
+
+    found = find(common.only(common.read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, train
 
@@ -72,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op4_fingerprints": op4_fingerprints,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_html_extraction": op8_html_extraction,
