@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, only
+from .common import BROADCAST_IDS, WORD, cut
 
 WEIGHTS = (1, 2, 3)
 #: Times a source's size that its target may be at most.
@@ -81,8 +81,11 @@ def mix(docs: DataFrame, size: Column | None = None, quality: Column | None = No
 
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, whole, each as often as it is taken. Null ids never match and are kept once."""
+    """The mix itself: the rows of ``docs``, whole, each as often as it is taken. All columns stay. Rows that share an id (or have none)
+    are taken as often as the most taken of them."""
     chosen = mix(docs, boundary="whole", **options)
-    counts = chosen.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    met = docs.join(counts, docs["doc_id"].eqNullSafe(counts["doc_id"])).drop(counts["doc_id"])
-    return met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies")
+    counts = cut(chosen.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_doc_id"))
+    if counts.count() <= BROADCAST_IDS:
+        counts = F.broadcast(counts)
+    met = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return met.select(*[F.col(f"`{x}`") for x in docs.columns])

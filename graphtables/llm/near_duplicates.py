@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, mix64, only, shuffle_partitions, slices
+from .common import BROADCAST_IDS, arrow_map, cut, mix64, only, shuffle_partitions, slices
 
 SKETCH = 128
 TREES = 12
@@ -30,8 +30,6 @@ FIRST_LEVELS, DEPTH = 3, 7
 SMALL, BLOCK = 32, 512
 #: Agreement of sketches below the threshold by so much is no candidate (over four standard errors).
 SLACK = 0.15
-#: Ids that may be broadcast to pick documents out of the table; beyond, an exchange.
-BROADCAST_IDS = 300_000
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _A = (mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * _GAMMA) | np.uint64(1)).astype(np.uint32)
@@ -337,3 +335,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = met.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), trees: int = TREES) -> DataFrame:
+    """The rows of ``docs`` less all but one document (the least doc_id) of each group of near duplicates; all columns stay.
+
+    Of rows that are equal in id and text one stays. Rows without an id can't be told apart and all stay."""
+    judged = cut(near_duplicates(docs, words, threshold, trees))
+    gone = cut(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known, unknown = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL")
+        left = known.dropDuplicates(["doc_id", "text"]).unionByName(unknown)
+    return left
