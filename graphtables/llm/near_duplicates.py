@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_map, cut, mix64, only, shuffle_partitions, slices
+from .common import BROADCAST_IDS, arrow_map, mix64, only, shuffle_partitions, slices, staged
 
 SKETCH = 128
 TREES = 12
@@ -36,6 +36,12 @@ _A = (mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * _GAMMA) | np.uint64(1)).
 _B = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Its size is known from its files; a checkpoint's estimate is the product of
+    all joins before it, a number that outgrows the driver's memory after some rounds."""
+    return staged(df, "near_duplicates")
+
+
 class _Words(dict):
     """Hashes of words, each made once, forgotten when there are too many."""
 
