@@ -117,13 +117,9 @@ def disclosing(docs: DataFrame, mentions: DataFrame, settings: Settings) -> Data
     by_context = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"), F.first("terms").alias("terms"))
     joint = by_context.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
     pairs = cut(joint.where(F.col("support") >= settings.support))
-    wanted = cut(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    few = wanted.count()
-    if few == 0:
+    if pairs.limit(1).count() == 0:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    if few <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     met = pairs.join(counts, "term").join(per_entity, "entity")
