@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ def _times(x: Column, factor: int, bits: int) -> Column:
     if bits == 32:
         return _wrap(x * F.lit(factor - (1 << 32) if factor >= 1 << 31 else factor), 32)
     wide, low = "decimal(38,0)", factor & 0xFFFFFFFF
-    whole = F.lit(1 << 64).cast(wide)
+    whole = F.lit(Decimal(1 << 64)).cast(wide)
     half = F.lit(1 << 32).cast("decimal(20,0)")
     exact = x.cast("decimal(20,0)")
     upper = F.pmod((exact * F.lit(factor >> 32).cast("decimal(10,0)")).cast(wide), F.lit(1 << 32).cast(wide)).cast("decimal(10,0)")
     total = F.pmod((exact * F.lit(low).cast("decimal(10,0)")).cast(wide) + (upper * half).cast(wide), whole)
-    return F.when(total >= F.lit(1 << 63).cast(wide), total - whole).otherwise(total).cast("long")
+    return F.when(total >= F.lit(Decimal(1 << 63)).cast(wide), total - whole).otherwise(total).cast("long")
 
 
 # Shifts and factors of the two mixers.

@@ -14,9 +14,8 @@ ALPHA, EPSILON, MOST_NEIGHBORS, MOST_ROUNDS = 0.5, 1e-4, 1000, 200
 def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, most_neighbors: int = MOST_NEIGHBORS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(seed, node_id, score, residual, hop): approximate personalized PageRank of each seed along outgoing edges.
 
-    A node whose residual reaches alpha * epsilon * degree is pushed: the residual is added to its score and (1 - alpha) of it spread
-    evenly over its neighbors (at most ``most_neighbors``, by hash). Scores sum residuals times alpha: mass is kept as
-    alpha * r at each push. ``hop`` is the least number of steps at which a node was met. All pushable nodes of a round are pushed
+    A seed begins with the residual alpha. A node whose residual reaches alpha * epsilon * degree is pushed: the residual is added to its
+    score and (1 - alpha) of it spread evenly over its neighbors (at most ``most_neighbors``, by hash). ``hop`` is the least number of steps at which a node was met. All pushable nodes of a round are pushed
     together; a round is one join and one aggregate, its result kept as a table, so plans don't grow."""
     out = edges.select("src", "dst").distinct()
     degree = out.groupBy("src").agg(F.count("*").alias("degree"))
@@ -24,7 +23,7 @@ def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsil
     fetched = kept.groupBy("src").agg(F.count("*").alias("fetched"))
     table = materialize(kept.join(degree, "src").join(fetched, "src").withColumnRenamed("src", "node_id"), "ppr_edges")
     degrees = table.select("node_id", "degree").distinct()
-    state = seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0.0).alias("score"), F.lit(1.0).alias("residual"), F.lit(0).alias("hop"))
+    state = seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0.0).alias("score"), F.lit(float(alpha)).alias("residual"), F.lit(0).alias("hop"))
     for _ in range(most_rounds):
         known = state.join(degrees, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         state = materialize(known.withColumn("push", (F.col("residual") > 0) & (F.col("residual") >= alpha * epsilon * F.col("degree"))), "ppr_state")
@@ -33,7 +32,7 @@ def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsil
         pushed = state.where("push")
         spread = pushed.join(table.drop("degree"), "node_id").select("seed", F.col("dst").alias("node_id"), F.lit(0.0).alias("score"), (F.col("residual") * (1 - alpha) / F.col("fetched")).alias("residual"), (F.col("hop") + 1).alias("hop"))
         # what a node without neighbors can't pass on stays in its score
-        own = state.select("seed", "node_id", F.when(F.col("push"), F.col("score") + alpha * F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(F.col("push"), F.lit(0.0)).otherwise(F.col("residual")).alias("residual"), "hop")
+        own = state.select("seed", "node_id", F.when(F.col("push"), F.col("score") + F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(F.col("push"), F.lit(0.0)).otherwise(F.col("residual")).alias("residual"), "hop")
         state = own.unionByName(spread).groupBy("seed", "node_id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.min("hop").alias("hop"))
     return state
 
