@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``staged``, and the number of rows, observed while they are written."""
+    seen = Observation()
+    return staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new folder of the shared checkpoint folder, and read again."""
     spark = df.sparkSession

@@ -3,9 +3,9 @@
 Each document is its set of word shingles, and a sketch of SKETCH minwise tokens of it. Documents of equal sets form one class. In
 each of TREES independent trees classes branch, level by level, by the tokens that a node selects: one coordinate of the sketch, or
 two in a quarter of the nodes, so that a pair of the threshold's similarity meets in about one child per level. Nodes that are small
-are compared exhaustively by sketch. Large nodes are linked to one member (a star), and branch on as long as they hold members of
-different components; what is still large and mixed after DEPTH levels is compared exhaustively in blocks. Every candidate pair
-that could still join two components is confirmed on the full sets; links make components.
+are compared exhaustively by sketch. The members of large nodes are compared with one of them (a star), and branch on; what is still
+large after DEPTH levels, and holds members of different components, is compared exhaustively in blocks. Candidate pairs are confirmed
+on the full sets, each class's best first, then all that would still join two components; links make components.
 
 Scale: texts and sets of only those documents travel that have a candidate; trees travel as pairs of 64-bit numbers; components come
 from label propagation with pointer jumping. Nothing is collected on the driver but row counts. Copies count once, whatever their
@@ -13,14 +13,16 @@ number, and large groups of near copies cost a star, not all their pairs."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import common
 from .common import BROADCAST_IDS, arrow_map, mix64, only, shuffle_partitions, slices, staged
 
 SKETCH = 128
@@ -42,6 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
     return staged(df, "near_duplicates")
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    return common.counted(df, "near_duplicates")
+
+
 class _Words(dict):
     """Hashes of words, each made once, forgotten when there are too many."""
 
@@ -222,29 +228,28 @@ def _confirm(numerator: int, denominator: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(cid, comp) of every end of ``links`` (a, b): the least number reachable. Labels pass along links, then each takes its label's label."""
-    ends = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    ends = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = cut(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("cid"), F.least("u", "v").alias("comp")))
     while True:
         near = ends.join(labels.withColumnRenamed("cid", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         near = cut(labels.join(near.withColumnRenamed("u", "cid"), "cid").select("cid", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")))
         up = near.select(F.col("cid").alias("comp"), F.col("comp").alias("up"))
-        jumped = cut(near.join(up, "comp").select("cid", F.least("comp", "up").alias("comp"), "old"))
-        labels = jumped.select("cid", "comp")
-        if jumped.where("comp <> old").limit(1).count() == 0:
+        changed = Observation()
+        jumped = near.join(up, "comp").select("cid", F.least("comp", "up").alias("comp"), "old")
+        labels = cut(jumped.observe(changed, F.count_if(F.col("comp") != F.col("old")).alias("n")).select("cid", "comp"))
+        if changed.get["n"] == 0:
             return labels
 
 
 class _Join:
-    """State of one run: the classes, their components so far, and the candidates that were confirmed or refused."""
+    """State of one run: the classes, and their components so far."""
 
     def __init__(self, docs: DataFrame, words: int, threshold: tuple[int, int], trees: int):
         self.docs, self.words, self.threshold, self.trees = docs, words, threshold, trees
-        self.spark = docs.sparkSession
-        self.n = shuffle_partitions(self.spark)
+        self.n = shuffle_partitions(docs.sparkSession)
         self.least = threshold[0] / threshold[1] - SLACK
         self.rows = cut(arrow_map(docs, _sets(words), "doc_id long, n_shingles long, cid long, sketch binary"))
         self.classes = cut(self.rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch")))
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def labelled(self, df: DataFrame, column: str = "cid", out: str = "comp") -> DataFrame:
@@ -253,6 +258,20 @@ class _Join:
         known = self.labels.select(F.col("cid").alias("_cid"), F.col("comp").alias("_comp"))
         return df.join(known, F.col(column) == F.col("_cid"), "left").withColumn(out, F.coalesce("_comp", column)).drop("_cid", "_comp")
 
+    def crossing(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components, with these (ca, cb)."""
+        return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
+
+    def link(self, found: DataFrame) -> None:
+        """Join components by confirmed pairs: only components that are met move."""
+        if self.labels is None:
+            self.labels = components(found)
+            return
+        moved = components(self.crossing(found).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        to = moved.select(F.col("cid").alias("comp"), F.col("comp").alias("to"))
+        old = self.labels.join(to, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp"))
+        self.labels = cut(old.unionByName(moved.join(self.labels.select("cid"), "cid", "left_anti")))
+
     def compared(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of nodes (node, cid, comp)."""
         full = members.join(self.classes.select("cid", "sketch"), "cid").select("node", "cid", "comp", "sketch")
@@ -263,64 +282,56 @@ class _Join:
         pairs = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
         own = self.classes.select(F.col("cid").alias("b"), "sketch")
         other = self.classes.select(F.col("cid").alias("a"), F.col("sketch").alias("other"))
-        return arrow_map(cut(pairs.join(own, "b")).join(other, "a").select("a", "b", "sketch", "other"), _alike(self.least), "a long, b long, agree int")
+        return arrow_map(pairs.join(own, "b").join(other, "a").select("a", "b", "sketch", "other"), _alike(self.least), "a long, b long, agree int")
 
     def confirm(self, candidates: DataFrame) -> None:
-        """Confirm candidates on full sets: first each class's best, then, until none is left, all that would join two components."""
-        left = cut(candidates.groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        first = True
-        while left.limit(1).count():
-            if first:
-                ends = left.select("a", "b", "agree", F.col("a").alias("end")).unionByName(left.select("a", "b", "agree", F.col("b").alias("end")))
-                chosen = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-            else:
-                chosen = left.select("a", "b")
-            chosen = cut(chosen)
-            found = self.full(chosen)
-            self.links = cut(found if self.links is None else self.links.unionByName(found))
-            self.labels = components(self.links)
-            if not first:
-                return
-            crossing = self.labelled(self.labelled(left.join(chosen, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb")
-            left, first = cut(crossing.select("a", "b", "agree")), False
+        """Confirm candidates on full sets: first each class's best, then all that would still join two components."""
+        pairs, n = counted(candidates.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+        if not n:
+            return
+        ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
+        best = cut(ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
+        self.link(self.full(best))
+        left, n = counted(self.crossing(pairs.join(best, ["a", "b"], "left_anti")).select("a", "b"))
+        if n:
+            self.link(self.full(left))
 
     def full(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets are alike enough."""
-        need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        need = cut(need.join(self.classes.select("cid", "first"), "cid").select("cid", F.col("first").alias("doc_id")))
-        few = need.count() <= BROADCAST_IDS
-        right = (F.broadcast(need) if few else need).withColumnRenamed("doc_id", "_doc_id")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        need, n = counted(need.join(self.classes.select("cid", "first"), "cid").select("cid", F.col("first").alias("_doc_id")))
+        right = F.broadcast(need) if n <= BROADCAST_IDS else need
         texts = self.docs.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("cid", "text")
         sets = cut(arrow_map(texts, _full_sets(self.words), "cid long, full binary").dropDuplicates(["cid"]))
         half = pairs.join(sets.withColumnRenamed("cid", "a"), "a")
         both = half.join(sets.select(F.col("cid").alias("b"), F.col("full").alias("other")), "b")
-        return arrow_map(both, _confirm(*self.threshold), "a long, b long")
+        return cut(arrow_map(both, _confirm(*self.threshold), "a long, b long"))
 
     def run(self) -> None:
-        frontier = arrow_map(self.classes, _plant(self.trees, FIRST_LEVELS), "node long, cid long")
+        frontier, candidates = arrow_map(self.classes, _plant(self.trees, FIRST_LEVELS), "node long, cid long"), []
         for _ in range(FIRST_LEVELS, DEPTH):
             sizes = cut(frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1"))
-            members = cut(self.labelled(frontier.join(sizes, "node")))
+            members = cut(frontier.join(sizes, "node"))
+            candidates.append(self.compared(members.where(F.col("n") <= SMALL).withColumn("comp", F.col("cid"))))
             large = members.where(F.col("n") > SMALL)
-            self.confirm(self.compared(members.where(F.col("n") <= SMALL)).unionByName(self.starred(large)))
-            large = cut(self.mixed(large))
-            if large.limit(1).count() == 0:
-                return
-            frontier = cut(arrow_map(large.join(self.classes.select("cid", "sketch"), "cid").select("node", "cid", "sketch"), _branch, "node long, cid long").distinct())
-        self.exhaust(frontier)
-
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """Members of the nodes that hold more than one component."""
-        own = cut(self.labelled(members.select("node", "cid")))
-        mixed = cut(own.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node"))
-        return own.join(mixed, "node")
+            candidates.append(self.starred(large))
+            deeper = large.join(self.classes.select("cid", "sketch"), "cid").select("node", "cid", "sketch")
+            frontier, n = counted(arrow_map(deeper, _branch, "node long, cid long").distinct())
+            if not n:
+                break
+        self.confirm(functools.reduce(DataFrame.unionByName, candidates))
+        if n:
+            self.exhaust(frontier)
 
     def exhaust(self, frontier: DataFrame) -> None:
         """Nodes that stayed large: all their pairs of different components, by pairs of blocks."""
-        members = self.mixed(frontier)
-        sizes = cut(members.groupBy("node").agg(F.count("*").alias("n")))
+        own = cut(self.labelled(frontier))
+        whole = own.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed, n = counted(whole.where("lo <> hi").select("node", "n"))
+        if not n:
+            return
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        dealt = members.join(sizes, "node").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
+        dealt = own.join(mixed, "node").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         low, high = F.least("mine", "with"), F.greatest("mine", "with")
         self.confirm(self.compared(dealt.select(F.xxhash64("node", low, high).alias("node"), "cid", "comp")))

@@ -201,12 +201,11 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     """Large groups of near copies, some beyond the threshold of most, end in stars, deeper levels and blocks."""
     r = random.Random(5)
     rows = []
-    for g in range(3):
+    for g in range(2):
         base = [f"g{g}v{i}" for i in range(80)]
-        rows += [(len(rows) + i, edited(base, r, 9)) for i in range(70)]
+        rows += [(len(rows) + i, edited(base, r, 9)) for i in range(50)]
     monkeypatch.setattr(near_duplicates, "SMALL", 8)
-    check_groups(spark, rows, 2)
-    monkeypatch.setattr(near_duplicates, "DEPTH", 4)
+    monkeypatch.setattr(near_duplicates, "DEPTH", 5)
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)
     check_groups(spark, rows, 2)
 
