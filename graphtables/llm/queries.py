@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, oracles
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn, sketch, tokenize or pack; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": oracles.TOP_K,
+    "op7_url_filters": oracles.URLS,
+    "op10_near_duplicates": oracles.NEAR_DUPLICATES,
+}
