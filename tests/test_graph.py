@@ -321,3 +321,25 @@ def test_sources(spark, tmp_path):
     assert S.read(spark, f"{tmp_path}/e").dtypes == [("node_id", "bigint"), ("emb", "array<float>")]
     e = S.edge_table_with_features(spark.createDataFrame([(1, 2, None, 3)], "a long, b long, f double, g int"), "a", "b")
     assert e.first().features == [0.0, 3.0]
+
+
+def test_preprocessor(spark, tmp_path):
+    from graphtables.plans import jobs
+
+    spark.createDataFrame([("Alice", 1.5, None), ("Bob", None, 2)], "person string, height double, age int").write.parquet(f"{tmp_path}/n")
+    spark.createDataFrame([("Alice", "Bob", 3)], "a string, b string, w int").write.parquet(f"{tmp_path}/e")
+
+    class Config(jobs.PreprocessorConfig):
+        def node_specs(self):
+            return {S.NodeReference(f"{tmp_path}/n", "person", "person"): jobs.Spec({"height": "float", "age": "int"})}
+
+        def edge_specs(self):
+            return {S.EdgeReference(f"{tmp_path}/e", ("person", "knows", "person"), "a", "b"): jobs.Spec({"w": "int"}, preprocess=lambda df: df.withColumn("w", F.col("w") * 2))}
+
+    out = jobs.run(spark, Config())
+    assert sorted(map(tuple, out.nodes["person"].collect())) == [(0, 1.5, 0), (1, 0.0, 2)]
+    assert list(map(tuple, out.edges["person", "knows", "person", "main"].collect())) == [(0, 1, 6)]
+    assert jobs.assets_exist(spark, f"{tmp_path}/n", f"{tmp_path}/zzz") == {f"{tmp_path}/n": True, f"{tmp_path}/zzz": False}
+    S.check_references(list(Config().node_specs()), list(Config().edge_specs()), {"person"}, {("person", "knows", "person")})
+    with pytest.raises(ValueError):
+        S.check_references([], [], {"person"}, set())
