@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, only, shuffle_partitions, slices
+from .common import arrow_map, mix64, only, shuffle_partitions, slices, texts_of
 
 SHINGLE = 12
 #: One hash of so many is kept.
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
             for batch in slices(whole, text, most_bytes=2 << 20):
-                texts = [x or "" for x in batch.column(text).to_pylist()]
+                texts = texts_of(batch, text)
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 yield columns | {out: [encode(s, x) for s, x in zip(sketches(texts), texts, strict=True)]}
 
@@ -159,10 +159,10 @@ def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     closed = None  # the run that has met its halo
     for whole in batches:
         for batch in slices(whole, "text", most_rows=1024, most_bytes=2 << 20):
-            texts = texts_ = [x or "" for x in batch.column("text").to_pylist()]
+            texts = texts_of(batch)
             own = sketches(texts)
             done = []
-            for run, halo, doc_id, text, sketch in zip(batch.column("run").to_pylist(), batch.column("halo").to_pylist(), batch.column("doc_id").to_pylist(), texts_, own, strict=True):
+            for run, halo, doc_id, text, sketch in zip(batch.column("run").to_pylist(), batch.column("halo").to_pylist(), batch.column("doc_id").to_pylist(), texts, own, strict=True):
                 if halo and closed == run:
                     continue
                 if held is not None:

@@ -200,10 +200,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
     while todo:
         what, x = todo.pop()
         if what == "text":
-            if pre:
-                page.flow.append(x)
-            elif x:
-                page.flow.append(x)
+            page.flow.append(x)
             continue
         name = x.name
         if what == "open":
@@ -277,7 +274,6 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
 def _draw(table: Node, drawn: dict[int, list[str]]) -> list[str]:
     """A table's caption, then its rows, cells of a column beginning at the same place."""
     captions, rows, loose = [], [], []
-    groups = [table]
     queue = list(reversed(table.children))
     while queue:
         x = queue.pop()
@@ -297,7 +293,6 @@ def _draw(table: Node, drawn: dict[int, list[str]]) -> list[str]:
             rows.append([layout(x, drawn)])
         else:
             loose.append(x)
-    del groups
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
