@@ -200,6 +200,45 @@ def _compare(least: float):
     return run
 
 
+def _settle(least: float, numerator: int, denominator: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        """Rows come sorted by node: links, confirmed on full sets, that join components within each node."""
+        node, members = None, []
+
+        def links():
+            n = len(members)
+            own = np.frombuffer(b"".join(x[2] for x in members), np.uint16).reshape(n, SKETCH)
+            full = [np.frombuffer(x[3], np.uint64) for x in members]
+            size = np.array([len(x) for x in full])
+            _, comp = np.unique([x[1] for x in members], return_inverse=True)  # joined components take one number
+            a, b = [], []
+            for i in range(n - 1):
+                agree = (own[i + 1 :] == own[i]).sum(axis=1)
+                near = np.flatnonzero(agree >= least * SKETCH) + i + 1
+                for j in near[np.argsort(-agree[near - i - 1], kind="stable")].tolist():
+                    if comp[i] == comp[j]:
+                        continue
+                    both = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                    if denominator * both >= numerator * (size[i] + size[j] - both):
+                        a.append(members[i][0])
+                        b.append(members[j][0])
+                        comp[comp == comp[j]] = comp[i]
+            return {"a": a, "b": b}
+
+        for batch in batches:
+            for v, *x in zip(*(batch.column(c).to_pylist() for c in ("node", "cid", "comp", "sketch", "full")), strict=True):
+                if v != node:
+                    if len(members) > 1:
+                        yield links()
+                    node = v
+                    members.clear()
+                members.append(x)
+        if len(members) > 1:
+            yield links()
+
+    return run
+
+
 def _alike(least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
@@ -296,13 +335,16 @@ class _Join:
         if n:
             self.link(self.full(left))
 
-    def full(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs whose full sets are alike enough."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    def sets(self, need: DataFrame) -> DataFrame:
+        """(cid, full): the full sets of the wanted classes, made from the text of one document each."""
         need, n = counted(need.join(self.classes.select("cid", "first"), "cid").select("cid", F.col("first").alias("_doc_id")))
         right = F.broadcast(need) if n <= BROADCAST_IDS else need
         texts = self.docs.join(right, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("cid", "text")
-        sets = cut(arrow_map(texts, _full_sets(self.words), "cid long, full binary").dropDuplicates(["cid"]))
+        return cut(arrow_map(texts, _full_sets(self.words), "cid long, full binary").dropDuplicates(["cid"]))
+
+    def full(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose full sets are alike enough."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         half = pairs.join(sets.withColumnRenamed("cid", "a"), "a")
         both = half.join(sets.select(F.col("cid").alias("b"), F.col("full").alias("other")), "b")
         return cut(arrow_map(both, _confirm(*self.threshold), "a long, b long"))
@@ -324,17 +366,25 @@ class _Join:
             self.exhaust(frontier)
 
     def exhaust(self, frontier: DataFrame) -> None:
-        """Nodes that stayed large: all their pairs of different components, by pairs of blocks."""
+        """What stayed in large nodes: all pairs of different components, by pairs of blocks, confirmed on full sets where they meet.
+
+        Nodes that share members (of the same group, in other trees) are one group here, so each pair of blocks comes once; each gives
+        links for a spanning forest of its members only."""
         own = cut(self.labelled(frontier))
-        whole = own.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed, n = counted(whole.where("lo <> hi").select("node", "n"))
+        whole = own.groupBy("node").agg(F.min("cid").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed, n = counted(whole.where("lo <> hi").select("node", "pivot"))
         if not n:
             return
+        stars = own.join(mixed, "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+        groups = components(stars).withColumnRenamed("comp", "node")
+        sizes = cut(groups.groupBy("node").agg(F.count("*").alias("n")))
+        members = self.labelled(groups).join(self.classes.select("cid", "sketch"), "cid").join(self.sets(groups.select("cid")), "cid")
         blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        dealt = own.join(mixed, "node").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
+        dealt = members.join(sizes, "node").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         low, high = F.least("mine", "with"), F.greatest("mine", "with")
-        self.confirm(self.compared(dealt.select(F.xxhash64("node", low, high).alias("node"), "cid", "comp")))
+        pairs = dealt.select(F.xxhash64("node", low, high).alias("node"), "cid", "comp", "sketch", "full")
+        self.link(cut(arrow_map(pairs.repartition(self.n, "node").sortWithinPartitions("node"), _settle(self.least, *self.threshold), "a long, b long").distinct()))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), trees: int = TREES) -> DataFrame:
