@@ -3,7 +3,8 @@
 Patterns find the protected entities (emails, ip addresses, card and phone numbers). A term discloses an entity as far as knowing the
 term tells of the entity: with counts of documents, PMI(term, entity) = log(N n(t,e) / (n(t) n(e))), against all there is to know of
 the entity, log(N / n(e)). A term near an entity whose share of that exceeds a threshold is generalised to a mark, and removed beyond
-a second one; terms need several different contexts, so that copies of one document are no evidence.
+a second one. The joint count is shrunk by the number of different contexts it comes from: one context is some evidence, so that
+entities of a single mention have disclosing terms too, and copies of one document are no more than that.
 
 DataFrame and SQL functions only. Scale: patterns run in the scan; texts move only where flagged terms are too many to broadcast.
 Contexts are a bounded number of terms on each side of a mention, so pairs grow with mentions, not with their square; counts cover all
@@ -37,8 +38,8 @@ _WORD = r"\p{L}{4,}"
 
 #: Code points on each side of a mention that are its context.
 WINDOW = 48
-#: Different contexts of an entity in which a term must occur.
-SUPPORT = 3
+#: Contexts' worth that a joint count loses: of s different contexts, (s - DISCOUNT) / s of the count is believed.
+DISCOUNT = 0.5
 #: Shares of an entity's information beyond which a term is generalised, removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows that may be broadcast, each of a key and some terms.
@@ -50,7 +51,7 @@ _SPAN = "struct<start:int,k:int,end:int,value:string>"
 @dataclass(frozen=True)
 class Settings:
     window: int = WINDOW
-    support: int = SUPPORT
+    discount: float = DISCOUNT
     generalise: float = GENERALISE
     remove: float = REMOVE
 
@@ -112,18 +113,18 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, mentions: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term, share): terms with enough support whose share of the entity's information exceeds the threshold."""
+    """(entity, term, share): terms whose share of the entity's information, by shrunk counts, exceeds the threshold."""
     per_entity = mentions.select("text_key", "entity", "n").distinct().groupBy("entity").agg(F.sum("n").alias("n_e"))
     by_context = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"), F.first("terms").alias("terms"))
     joint = by_context.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
-    pairs = cut(joint.where(F.col("support") >= settings.support))
+    pairs = cut(joint)
     if pairs.limit(1).count() == 0:
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     met = pairs.join(counts, "term").join(per_entity, "entity")
-    together = F.least("n_te", "n_t", "n_e")
+    together = F.least("n_te", "n_t", "n_e") * (1 - settings.discount / F.col("support"))
     share = F.log(F.lit(float(total)) * together / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     return met.where(F.col("n_e") < total).select("entity", "term", share.alias("share")).where(F.col("share") >= settings.generalise)
 

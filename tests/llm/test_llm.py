@@ -249,6 +249,17 @@ def test_pii_terms(spark):
     assert all(out[d] == t for d, t in rows if d >= 100)
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """An address of one or two mentions has disclosing terms; a word of many documents discloses neither."""
+    rows = [(0, "common words Xenophon at boss@corp.example common words"), (1, "common Ysabel words at head@corp.example"), (2, "words of Ysabel common at head@corp.example")]
+    rows += [(100 + i, f"common words at {sentence(i % 5, 40)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.t for r in pii.find(df).select("doc_id", pii.sanitised().alias("t")).collect()}
+    assert "enophon" not in out[0] and "sabel" not in out[1] + out[2]
+    assert all("common" in out[i] and "words" in out[i] and " at " in out[i] and "[EMAIL]" in out[i] for i in range(3))
+    assert all(out[d] == t for d, t in rows if d >= 100)
+
+
 def test_language(spark, docs, none):
     r = random.Random(3)
     stems = {"aa": "ka ti ro mu lo".split(), "bb": "sch ung ein der".split(), "cc": "ción dad que el".split()}
