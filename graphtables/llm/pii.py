@@ -2,13 +2,13 @@
 
 Patterns find the protected entities (emails, ip addresses, card and phone numbers). A term discloses an entity as far as knowing the
 term tells of the entity: with counts of documents, PMI(term, entity) = log(N n(t,e) / (n(t) n(e))), against all there is to know of
-the entity, log(N / n(e)). A term near an entity whose share of that exceeds a threshold is generalised to a mark, and removed beyond
-a second one. The joint count is shrunk by the number of different contexts it comes from: one context is some evidence, so that
-entities of a single mention have disclosing terms too, and copies of one document are no more than that.
+the entity, log(N / n(e)). A term of a document that holds an entity whose share of that exceeds a threshold is generalised to a mark
+in all documents, and removed beyond a second one. The joint count is shrunk by the number of different texts it comes from: one text is
+some evidence, so that entities of a single mention have disclosing terms too, and copies of one document are no more than that.
 
 DataFrame and SQL functions only. Scale: patterns run in the scan; texts move only where flagged terms are too many to broadcast.
-Contexts are a bounded number of terms on each side of a mention, so pairs grow with mentions, not with their square; counts cover all
-documents and are pre-aggregated; broadcasts are decided on counted rows."""
+Only terms rare enough to disclose are paired with a text's entities; counts cover all documents and are pre-aggregated; broadcasts are
+decided on counted rows."""
 
 from __future__ import annotations
 
@@ -34,23 +34,22 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: A text without this has no match of the kind.
 _NEEDS = ("@", "[0-9]\\.[0-9]++\\.[0-9]", "[0-9][\\x20-]?[0-9]", "\\+[0-9]")
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
-_WORD = r"\p{L}{4,}"
+_WORD = r"\p{L}++"
 
-#: Code points on each side of a mention that are its context.
-WINDOW = 48
-#: Contexts' worth that a joint count loses: of s different contexts, (s - DISCOUNT) / s of the count is believed.
+#: Texts' worth that a joint count loses: of s different texts, (s - DISCOUNT) / s of the count is believed.
 DISCOUNT = 0.5
 #: Shares of an entity's information beyond which a term is generalised, removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows that may be broadcast, each of a key and some terms.
 BROADCAST_ROWS = 100_000
+#: Flagged terms whose 64-bit hashes may be broadcast.
+BROADCAST_HASHES = 1_000_000
 
 _SPAN = "struct<start:int,k:int,end:int,value:string>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = WINDOW
     discount: float = DISCOUNT
     generalise: float = GENERALISE
     remove: float = REMOVE
@@ -99,54 +98,61 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def contexts(docs: DataFrame, window: int) -> DataFrame:
-    """(text_key, entity, context, terms): each mention with a digest of its context and the distinct terms in it."""
-    m = F.col("mention")
-    first = F.greatest(m["start"] - window, F.lit(0))
-    left = F.substring("text", first + 1, m["start"] - first)
-    left = F.when(first > 0, F.regexp_replace(left, r"\A\p{L}++", "")).otherwise(left)
-    right = F.regexp_replace(F.substring("text", m["end"] + 1, F.lit(window)), r"\p{L}++\z", "")
-    around = F.lower(F.concat(left, F.lit(" \n "), right))
-    rows = docs.select("text_key", "text", F.explode("base").alias("mention"))
-    rows = rows.select("text_key", F.concat_ws(":", m["k"].cast("string"), F.lower(m["value"])).alias("entity"), around.alias("around"))
-    return rows.select("text_key", "entity", F.xxhash64("around").alias("context"), F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0))).alias("terms"))
-
-
-def disclosing(docs: DataFrame, mentions: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term, share): terms whose share of the entity's information, by shrunk counts, exceeds the threshold."""
-    per_entity = mentions.select("text_key", "entity", "n").distinct().groupBy("entity").agg(F.sum("n").alias("n_e"))
-    by_context = mentions.groupBy("entity", "context").agg(F.sum("n").alias("n"), F.first("terms").alias("terms"))
-    joint = by_context.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
-    pairs = cut(joint)
-    if pairs.limit(1).count() == 0:
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    met = pairs.join(counts, "term").join(per_entity, "entity")
+def words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def holders(seen: DataFrame) -> DataFrame:
+    """(text_key, n, entities, terms): each different text with base spans, how many documents have it, what it names and its words."""
+    rows = seen.where(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["value"]))))
+    rows = rows.select(F.md5("text").alias("text_key"), entities.alias("entities"), words(F.col("text")).alias("terms"))
+    return rows.groupBy("text_key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+
+
+def disclosing(docs: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+    """(term, share): terms whose greatest share of an entity's information, by shrunk counts, exceeds the threshold.
+
+    As a joint count is at most the entity's, a share can exceed it only where n(t) <= N^(1 - threshold) n(e)^threshold; other pairs are
+    not made. Entities that only one text names all have the same counts with its terms, and stand as one."""
+    total = float(docs.count())
+    named = held.select("text_key", "n", F.explode("entities").alias("entity"))
+    per_entity = named.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"))
+    per_entity = per_entity.where(F.col("n_e") < total).withColumn("most", F.pow(F.lit(total), 1 - settings.generalise) * F.pow("n_e", F.lit(settings.generalise)))
+    entity = F.when(F.col("texts") > 1, F.col("entity")).otherwise(F.col("text_key"))
+    met = cut(named.join(per_entity, "entity").select("text_key", "n", entity.alias("entity"), "n_e", "most").distinct())
+    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    rare = held.select("text_key", F.explode("terms").alias("term")).join(counts, "term").join(met.groupBy("text_key").agg(F.max("most").alias("upto")), "text_key")
+    pairs = rare.where(F.col("n_t") <= F.col("upto")).select("text_key", "term", "n_t").join(met, "text_key").where(F.col("n_t") <= F.col("most"))
+    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     together = F.least("n_te", "n_t", "n_e") * (1 - settings.discount / F.col("support"))
-    share = F.log(F.lit(float(total)) * together / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    return met.where(F.col("n_e") < total).select("entity", "term", share.alias("share")).where(F.col("share") >= settings.generalise)
+    share = F.log(F.lit(total) * together / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(total) / F.col("n_e"))
+    return joint.select("term", share.alias("share")).where(F.col("share") >= settings.generalise).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``base`` (spans of the patterns), ``spans`` (those and the terms', by start, then kind) and ``removed`` (terms to leave out).
 
-    Null texts count as empty and have no spans; a document without base spans gets none at all; repeated rows are treated alike; an
+    Null texts count as empty and have no spans; a document without base spans gets the terms' alone; repeated rows are treated alike; an
     empty table stays empty. Columns of these names in ``docs`` are replaced."""
     docs = docs.drop("base", "spans", "removed", "text_key", "_terms", "_key")
     seen = docs.withColumn("base", base_spans(F.col("text")))
-    holding = seen.select("text", "base").where(F.size("base") > 0).withColumn("text_key", F.md5("text"))
-    mentions = contexts(holding, settings.window)
-    mentions = cut(mentions.groupBy("text_key", "entity", "context").agg(F.count("*").alias("n"), F.first("terms").alias("terms")))
-    flagged = cut(disclosing(docs, mentions, settings))
-    exploded = mentions.select("text_key", "entity", F.explode("terms").alias("term"))
-    found = exploded.join(flagged, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
-    by_text = cut(found.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")))
-    by_text = by_text.withColumnRenamed("text_key", "_key")
+    held = cut(holders(seen))
+    flagged = cut(disclosing(docs, held, settings))
+    many = flagged.count()
+    # keys and words stand before the explode, else they would be made once a word
+    rows = docs.select(F.md5("text").alias("_key"), words(F.col("text")).alias("_words")).select("_key", F.explode("_words").alias("term"))
+    if many <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
+    elif many <= BROADCAST_HASHES:  # few words of the documents pass, so few travel
+        hashes = flagged.select(F.xxhash64("term").alias("_hash")).distinct()
+        rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    rows = rows.join(flagged, "term")
+    by_text = cut(rows.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")))
     if by_text.count() <= BROADCAST_ROWS:
         by_text = F.broadcast(by_text)
-    key = F.when(F.size("base") > 0, F.md5("text")).otherwise(F.concat(F.lit("-"), F.xxhash64(F.length("text"), F.crc32("text")).cast("string")))
+    key = F.when(F.col("text").rlike(_WORD), F.md5("text")).otherwise(F.concat(F.lit("-"), F.xxhash64(F.length("text"), F.crc32("text")).cast("string")))
     met = seen.withColumn("text_key", key).join(by_text, F.col("text_key") == F.col("_key"), "left").drop("_key", "text_key")
     own = matches(F.col("text"), _WORD, TERM, lambda m: F.array_contains(F.col("_terms"), F.lower(m)))
     clear = F.filter(own, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))

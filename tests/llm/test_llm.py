@@ -260,6 +260,20 @@ def test_pii_terms_of_rare_entities(spark):
     assert all(out[d] == t for d, t in rows if d >= 100)
 
 
+@pytest.mark.parametrize("rows_sent,hashes_sent", [(100_000, 10**6), (0, 10**6), (0, 0)])
+def test_pii_terms_in_all_documents(spark, monkeypatch, rows_sent, hashes_sent):
+    """Terms count anywhere in a document that names the entity, short or not Latin, and are marked in every document."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows_sent)
+    monkeypatch.setattr(pii, "BROADCAST_HASHES", hashes_sent)
+    rows = [(0, f"Xenophon Wu 王小明 İlker {sentence(1, 30)} common at boss@corp.example"), (1, "common Xenophon; words"), (2, "common wu words"), (3, "words 王小明 common"), (4, "words İlker")]
+    rows += [(100 + i, f"common words at {sentence(1 + i % 5, 40)}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.t for r in pii.find(df).select("doc_id", pii.sanitised().alias("t")).collect()}
+    assert not re.search("xenophon|wu|王小明|ilker|İlker", " ".join(out[i] for i in range(5)), re.I)
+    assert out[1] == "common [TERM]; words" and "common at [EMAIL]" in out[0]
+    assert all(out[d] == t for d, t in rows if d >= 100)
+
+
 def test_language(spark, docs, none):
     r = random.Random(3)
     stems = {"aa": "ka ti ro mu lo".split(), "bb": "sch ung ein der".split(), "cc": "ción dad que el".split()}
