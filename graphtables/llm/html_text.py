@@ -21,7 +21,11 @@ from .common import arrow_map, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meter progress svg math".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist meter progress".split())
+#: What svg and math elements hold without painting it.
+UNSEEN_DRAWN = frozenset("title desc metadata defs annotation annotation-xml".split())
+#: Drawn apart from what stands beside them, on the same line.
+APART = frozenset("td th text mtd".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table menu fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address li dt dd form hr figcaption center details summary legend caption tr thead tbody tfoot dialog search hgroup option optgroup select".split())
 #: An opening tag closes these open elements, unless one of the limits stands between.
@@ -51,14 +55,14 @@ class Node:
         self.name, self.hidden, self.start, self.children = name, hidden, start, []
 
 
-def _attributes(rest: str) -> tuple[bool, int]:
+def _attributes(rest: str, of: str) -> tuple[bool, int]:
     """Whether they hide the element, and where a list's numbers start."""
     if "hid" not in (low := rest.lower()) and "none" not in low and "collapse" not in low and "start" not in low:
         return False, 1
     hidden, start = False, 1
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" and value.lower() != "until-found" or name == "style" and _HIDING.search(html.unescape(value)) or name == "aria-hidden" and value.lower() == "true" or name == "type" and value.lower() == "hidden":
+        if name == "hidden" and value.lower() != "until-found" or name == "style" and _HIDING.search(html.unescape(value)) or of == "input" and name == "type" and value.lower() == "hidden":
             hidden = True
         elif name == "start" and re.fullmatch(r"[+-]?[0-9]{1,9}", value):
             start = int(value)
@@ -123,7 +127,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     if stack[i].name in SCOPE and name not in SCOPE | {"tr", "thead", "tbody", "tfoot"}:
                         break
             continue
-        hidden, start = _attributes(m["rest"])
+        hidden, start = _attributes(m["rest"], name)
         if name in ("html", "body"):
             close({"head"}, set())
             stack[0 if name == "html" else -1].hidden |= hidden and name == "html"
@@ -141,15 +145,17 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             close(*CLOSES[name])
         if name[0] == "h" and name[1:] in "123456" and stack[-1].name[0] == "h" and stack[-1].name[1:] in set("123456"):
             pop_to(len(stack) - 1)
-        node = Node(name, hidden or name in UNSEEN, start)
+        drawn = open_names.get("svg") or open_names.get("math")
+        node = Node(name, hidden or name in UNSEEN or bool(drawn) and name in UNSEEN_DRAWN, start)
         stack[-1].children.append(node)
-        if name in RAW or name in ESCAPABLE_RAW:
+        empty = bool(drawn) and m["rest"].endswith("/")
+        if (name in RAW or name in ESCAPABLE_RAW) and not empty:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else n
             node.children.append(html.unescape(page[at:stop]) if name in ESCAPABLE_RAW else page[at:stop])
             close_at = page.find(">", stop) if end else n
             at = n if close_at < 0 else close_at + 1
-        elif name not in VOID and not (m["rest"].endswith("/") and (open_names.get("svg") or open_names.get("math"))):
+        elif name not in VOID and not empty:
             if name == "table":
                 tables.append(node)
             stack.append(node)
@@ -237,7 +243,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
                 page.indent = min(page.indent + 1, DEEPEST)
             elif name in BLOCK:
                 page.line(1 if name in SPACED and not (page.mark and not page.flow) else 0)
-            elif name in ("td", "th"):
+            elif name in APART:
                 page.flow.append(" ")
             todo.append(("close", x))
             todo.extend(("text", c) if isinstance(c, str) else ("open", c) for c in reversed(x.children))
@@ -265,7 +271,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
             page.indent = max(0, page.indent - 1)
         elif name in BLOCK:
             page.line(1 if name in SPACED else 0)
-        elif name in ("td", "th"):
+        elif name in APART:
             page.flow.append(" ")
     page.line()
     return page.lines

@@ -362,6 +362,20 @@ HTML = {
 }
 
 
+PAINTED = {
+    "a <math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='tex'>x + 1</annotation></semantics></math> b": "a x+1 b",
+    "<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><circle r='1'/><text>label</text></svg>z": "label z",
+    "<span class='katex-html' aria-hidden='true'>E=m</span>": "E=m", "<button type='hidden'>go</button><input type=hidden value=x>": "go", "<desc>d</desc><defs>e</defs>": "de",
+    "<svg hidden><text>no</text></svg><math style='display:none'>no</math>yes": "yes", "<svg viewBox='0 0 1 1'/>after": "after",
+    "<svg><title/><text>a</text><text>b</text></svg>c": "a b c",
+}
+
+
+def test_html_painted():
+    for page, text in PAINTED.items():
+        assert html_text.render(page) == text, page
+
+
 def test_html(spark):
     for page, text in HTML.items():
         assert html_text.render(page) == text, page
