@@ -9,7 +9,7 @@ Scale: training data and matrix don't grow with the corpus; scoring is one map o
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,17 @@ PER_LANGUAGE = 2000
 #: n-grams that a text's evidence counts as at most, so that the score stays a confidence, however long the text.
 EVIDENCE = 40.0
 UNKNOWN = "und"
+#: Texts of each language, about, that the bounds of its evidence are fitted on; code points of each that are read.
+FITTED, FITTED_CHARS = 400, 2048
+#: Code points of the pieces that bounds are fitted for; between them bounds are interpolated, beyond them they stay.
+PIECES = (2, 4, 8, 16, 32, 64, 128, 256, 512)
+#: How many times as far below the median as the lowest hundredth of pieces a text's evidence may be.
+REACH = 2.5
+#: The bound is at least this far below the median (nats an n-gram), however alike the labelled texts are.
+MARGIN = 1.5
 _LETTER = regex.compile(r"\p{L}")
+_DIGITS = regex.compile(r"[^\s\p{N}]*+\p{N}\S*+")
+_BLANKS = regex.compile(r"\s+")
 
 
 @dataclass(frozen=True)
@@ -35,6 +45,8 @@ class LanguageModel:
     #: log-probabilities, one row per hash bucket, one column per language
     weights: np.ndarray
     prior: np.ndarray
+    #: least log-probability an n-gram of texts of the language, one row per language, one column per length of ``PIECES``; none: all fit
+    bounds: np.ndarray | None = None
 
 
 def _grams(texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -96,29 +108,82 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: floa
         counts[:, langs.index(x["lang"])] += np.frombuffer(x["counts"], np.int64)
         seen[langs.index(x["lang"])] += x["rows"]
     weights = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=0))
-    return LanguageModel(langs, weights.astype(np.float32), np.log((seen + 1) / (seen + 1).sum()))
+    model = LanguageModel(langs, weights.astype(np.float32), np.log((seen + 1) / (seen + 1).sum()))
+    return replace(model, bounds=_bounds(rows, sizes, model))
 
 
-def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The best language's number and its posterior, of every text (all non-empty)."""
+def _bounds(rows: DataFrame, sizes: dict[str, int], model: LanguageModel) -> np.ndarray:
+    """The bounds of each language's evidence, from pieces of a small sample of its texts."""
+    share = F.lit(0.0)
+    for lang, n in sorted(sizes.items()):
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, FITTED / n))).otherwise(share)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("bounds")), F.lit(1 << 30)) < share * (1 << 30)
+    sample = rows.where(drawn).select("lang", F.substring("text", 1, FITTED_CHARS).alias("text")).limit(2 * FITTED * len(sizes)).collect()
+    out = np.full((len(model.languages), len(PIECES)), -np.inf)
+    for k, lang in enumerate(model.languages):
+        texts = [x["text"] for x in sample if x["lang"] == lang and _LETTER.search(x["text"])]
+        for j, size in enumerate(PIECES):
+            pieces = []
+            for i, x in enumerate(map(_worded, texts)):
+                at = x.find(" ", (i * 7919) % max(1, len(x) - size)) + 1  # a word's begin, where there is one
+                pieces.append(x[at : at + size])
+            pieces = [x for x in pieces if len(x) == size and _LETTER.search(x)]
+            if pieces:
+                own = _totals(model, pieces)
+                evidence = own[0][:, k] / own[1]
+                middle, low = np.quantile(evidence, [0.5, 0.01])
+                out[k, j] = middle - max(MARGIN, REACH * (middle - low))
+            elif j:
+                out[k, j] = out[k, j - 1]
+    return out
+
+
+def _worded(text: str) -> str:
+    """The text without what holds digits (numbers, keys, hashes), which is of no language; where no letter is left, the whole text."""
+    left = _BLANKS.sub(" ", _DIGITS.sub(" ", text)).strip()
+    return left if _LETTER.search(left) else text
+
+
+def _totals(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log-probability of every text (all non-empty) in each language, how many n-grams it has, and its code points."""
     grams, begins, lengths = _grams(texts)
     total = np.zeros((len(texts), len(model.languages)))
     for hashed, begin in zip(grams, begins, strict=True):
         has = np.flatnonzero(np.diff(np.append(begin, len(hashed))))
         if len(has):
             total[has] += np.add.reduceat(model.weights[hashed], begin[has], axis=0, dtype=np.float64)
-    n = np.maximum(3 * lengths - 3, 1)[:, None]
-    total = total * np.minimum(1.0, EVIDENCE / n) + model.prior
+    return total, np.maximum(3 * lengths - 3, 1), lengths - 2
+
+
+def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The best language's number and its posterior, of every text (all non-empty)."""
+    total, n, _ = _totals(model, texts)
+    total = total * np.minimum(1.0, EVIDENCE / n)[:, None] + model.prior
     best = total.argmax(axis=1)
     total -= total.max(axis=1, keepdims=True)
     posterior = np.exp(total)
     return best, posterior.max(axis=1) / posterior.sum(axis=1)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+def fitting(model: LanguageModel, texts: list[str], best: np.ndarray) -> np.ndarray:
+    """Whether each text (all with letters) is likely enough, an n-gram, in the language of that number."""
+    if model.bounds is None:
+        return np.ones(len(texts), bool)
+    total, n, lengths = _totals(model, [_worded(x) for x in texts])
+    evidence = total[np.arange(len(texts)), best] / n
+    x = np.log2(np.maximum(lengths, 1))
+    fits = np.ones(len(texts), bool)
+    for k in set(best.tolist()):
+        own = best == k
+        fits[own] = evidence[own] >= np.interp(x[own], np.log2(PIECES), model.bounds[k])
+    return fits
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """``docs`` with the predicted language of each whole text and its confidence (0 to 1).
 
-    Null texts and texts without a letter are ``und``, with score 0. Nothing but the text is looked at."""
+    Null texts and texts without a letter are ``und``, with score 0. Nothing but the text is looked at. ``fit`` names a further column:
+    whether the text is as likely in that language as its labelled texts are, so that it's of no unlearned language."""
     session = docs.sparkSession
     shared = session.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -129,13 +194,16 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
             for batch in slices(whole, text, most_bytes=2 << 20):
                 texts = texts_of(batch, text)
                 which = [i for i, x in enumerate(texts) if model.languages and _LETTER.search(x)]
-                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                langs, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 if which:
-                    best, sure = score_texts(model, [texts[i] for i in which])
+                    own = [texts[i] for i in which]
+                    best, sure = score_texts(model, own)
+                    if fit:
+                        fits[which] = fitting(model, own, best)
                     scores[which] = np.clip(sure, 0.0, 1.0)
                     for i, b in zip(which, best.tolist(), strict=True):
                         langs[i] = model.languages[b]
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                yield columns | {out: langs, score: scores}
+                yield columns | {out: langs, score: scores} | ({fit: fits} if fit else {})
 
-    return arrow_map(docs, run, f"{fields}, `{out}` string, `{score}` double")
+    return arrow_map(docs, run, f"{fields}, `{out}` string, `{score}` double" + (f", `{fit}` boolean" if fit else ""))

@@ -410,6 +410,20 @@ def test_pipeline(spark, docs, tmp_path):
     assert packed.select("doc_id").distinct().count() == len({x.doc_id for x in kept[3]})
 
 
+def test_unlearned_languages_go(spark):
+    r = random.Random(4)
+    stems = {"en": "the of and to in is that it was for on are with as his they be at one have this from or had by word but what some we can out other were all there when up use your how said an each she".split(),
+             "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split()}
+    text = lambda lang, n: " ".join(r.choice(stems[lang]) for _ in range(n))
+    rows = [(i, text(lang, 60), lang, "a", 1) for i, lang in enumerate(["en", "de"] * 150)]
+    rows += [(1000 + i, text(lang, n), None, "a", 1) for i, (lang, n) in enumerate([(x, n) for x in stems for n in (3, 5, 10, 300)] * 5)]
+    odd = ["Все люди рождаются свободными и равными в своём достоинстве и правах.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق",
+           "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "人人生而自由在尊严和权利上一律平等", "xqzv kjwp ytgx zzqk vbnm pqxw jkzx"]
+    rows += [(2000 + i, x, None, "a", 1) for i, x in enumerate(odd)]
+    kept = {x.doc_id: x.lang for x in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert set(kept) == {d for d, *_ in rows if d < 2000} and {kept[d] for d in kept if d >= 1000} == {"en", "de"}
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
