@@ -287,6 +287,12 @@ def frontier_sampling(spark, d):
     return sampling.k_hop_frontier(both(spark, d), seeds, [4, 3])
 
 
+@query()
+def frontier_sampling_whole(spark, d):
+    """``frontier_sampling`` from all customers."""
+    return sampling.k_hop_frontier(both(spark, d), S.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), [4, 3])
+
+
 def typed_edges(spark, d):
     a = bought(spark, d).select("src", "dst", "weight", F.lit("customer").alias("src_type"), F.lit("buys").alias("relation"), F.lit("part").alias("dst_type"))
     b = bought(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("part").alias("src_type"), F.lit("bought_by").alias("relation"), F.lit("customer").alias("dst_type"))
@@ -305,6 +311,13 @@ def sampling_plan(spark, d):
     return sampling.run_plan(roots, typed_edges(spark, d), ops, "customer")
 
 
+@query()
+def sampling_plan_whole(spark, d):
+    """``sampling_plan`` with all customers as roots."""
+    ops = [sampling.SamplingOp("own", ("part", "bought_by", "customer"), 3, method="top_k"), sampling.SamplingOp("others", ("customer", "buys", "part"), 2, ("own",))]
+    return sampling.run_plan(S.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), typed_edges(spark, d), ops, "customer")
+
+
 @query(
     f"WITH e AS ({BOUGHT}), a AS (SELECT root, hop1 FROM (SELECT c_custkey AS root, dst AS hop1, row_number() OVER (PARTITION BY c_custkey ORDER BY md5(concat_ws('|', 'bought_by1', c_custkey, dst)), dst) AS r FROM customer JOIN e ON src = c_custkey) WHERE r <= 2) "
     "SELECT root, hop1, hop2 FROM (SELECT root, hop1, src AS hop2, row_number() OVER (PARTITION BY root, hop1 ORDER BY md5(concat_ws('|', 'buys2', root, hop1, src)), src) AS r FROM a JOIN e ON dst = hop1) WHERE r <= 2"
@@ -372,8 +385,8 @@ def invalid_subgraphs(spark, d):
 
 @query()
 def personalized_pagerank(spark, d):
-    seeds = S.table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("node_id"))
-    return ppr.top_ppr(ppr.forward_push(both(spark, d), seeds, epsilon=1e-3), 20)
+    seeds = S.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
+    return ppr.top_ppr(ppr.forward_push(both(spark, d), seeds), 20)
 
 
 @query()
@@ -413,6 +426,14 @@ def in_batch_negatives(spark, d):
     return sampling.negatives_in_batch(rows, 3)
 
 
+@query()
+def in_batch_negatives_whole(spark, d):
+    """``in_batch_negatives`` for the ids of all order lines, in batches of 256 order keys, whose size doesn't follow the table's."""
+    rows = S.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    rows = rows.agg(F.min(F.floor(F.col("l_orderkey") / 256)).alias("batch"), F.min("l_returnflag").alias("relation"), F.min("l_orderkey").alias("src"), F.min("l_partkey").alias("dst"))
+    return sampling.negatives_in_batch(rows, 3)
+
+
 @query("WITH r AS (SELECT * FROM (VALUES ('buys', 'customer', 'part'), ('trades', 'nation', 'nation')) t(relation, s, t)), z AS (SELECT 'customer' AS k, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'nation', count(*) FROM nation), i AS (SELECT unnest(range(1, 101)) AS i) SELECT relation, i::INTEGER AS i, (('0x' || substr(md5(concat_ws('|', 'negativesrc', relation, i)), 1, 8))::UBIGINT % a.n)::BIGINT AS src, (('0x' || substr(md5(concat_ws('|', 'negativedst', relation, i)), 1, 8))::UBIGINT % b.n)::BIGINT AS dst, 0 AS label FROM r JOIN z a ON a.k = s JOIN z b ON b.k = t, i")
 def uniform_negatives(spark, d):
     relations = spark.createDataFrame([("buys", "customer", "part"), ("trades", "nation", "nation")], "relation string, src_type string, dst_type string")
