@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; only where it is unset (tests, one machine) use a local folder."""
+    """Keep the cluster's spark.checkpoint.dir; only where it is unset and all run in one process (tests) use a local folder."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="graphtables-checkpoint-"))
 
 
@@ -52,7 +58,64 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open():
+        _open()[-1].append((path, table))
+    return table
+
+
+_scopes = threading.local()
+
+
+def _open() -> list[list[tuple[str, DataFrame]]]:
+    return _scopes.__dict__.setdefault("stack", [])
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables that are staged inside are removed at the end, but for those given to the function that this yields."""
+    made: list[tuple[str, DataFrame]] = []
+    kept: list[DataFrame] = []
+    _open().append(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _open().pop()
+        for path, table in made:
+            if any(table is x for x in kept):
+                if _open():  # for the scope around this one
+                    _open()[-1].append((path, table))
+                continue
+            folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+#: What modules keep in a Python worker from task to task, by module.
+_caches: dict[str, Callable[[], None]] = {}
+_turn: list[str] = [""]
+
+
+def cached(module: str, clear: Callable[[], None]) -> None:
+    """Register how to empty a module's cache: it is emptied when the worker turns to another module's functions."""
+    _caches[module] = clear
+
+
+def _turn_to(module: str) -> None:
+    if _turn[0] == module:
+        return
+    _turn[0] = module
+    for name, clear in _caches.items():
+        if name != module:
+            clear()
+    release()
+
+
+def release() -> None:
+    """Give unused memory back, so that what one task needed isn't held beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,16 +126,20 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` for a function that yields dicts of columns (arrays or lists) instead of record batches."""
     kind = StructType.fromDDL(schema)
     names = kind.names
+    module = function.__module__
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _turn_to(module)
         arrow = to_arrow_schema(kind)
         for columns in function(batches):
             arrays = []
             for field in arrow:
                 value = columns[field.name]
                 arrays.append(value.cast(field.type) if isinstance(value, pa.Array) else pa.array(value, field.type))
+            del columns
             if arrays and len(arrays[0]):
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     return df.mapInArrow(run, kind)
 

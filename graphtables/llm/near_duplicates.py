@@ -3,13 +3,16 @@
 Each document is its set of word shingles, and a sketch of SKETCH minwise tokens of it. Documents of equal sets form one class. In
 each of TREES independent trees classes branch, level by level, by the tokens that a node selects: one coordinate of the sketch, or
 two in a quarter of the nodes, so that a pair of the threshold's similarity meets in about one child per level. Nodes that are small
-are compared exhaustively by sketch. The members of large nodes are compared with one of them (a star), and branch on; what is still
-large after DEPTH levels, and holds members of different components, is compared exhaustively in blocks. Candidate pairs are confirmed
-on the full sets, each class's best first, then all that would still join two components; links make components.
+are compared exhaustively by sketch. The members of a large node are compared with its pivot, the member that the most large nodes hold:
+those like it make the pivot's crowd and leave the trees, the others branch on. Distances of sketches obey the triangle inequality, so
+members about as far from the pivot as a link may reach beyond the crowd's edge do both, and no linked pair is parted. What is still
+large after DEPTH levels is crowd as well. Candidate pairs are confirmed on the full sets, each class's best first, then all that would
+still join two components; links make components. A crowd of one component is done; in the others each member outside the largest
+component is compared with those of other components, in blocks, confirmed on full sets where they meet.
 
 Scale: texts and sets of only those documents travel that have a candidate; trees travel as pairs of 64-bit numbers; components come
 from label propagation with pointer jumping. Nothing is collected on the driver but row counts. Copies count once, whatever their
-number, and large groups of near copies cost a star, not all their pairs."""
+number, and large groups of near copies cost a star and their stragglers, not all their pairs."""
 
 from __future__ import annotations
 
@@ -30,9 +33,16 @@ TREES = 12
 FIRST_LEVELS, DEPTH = 3, 7
 #: Members of a node that is compared exhaustively; side of a block of larger ones.
 SMALL, BLOCK = 32, 512
+#: Bytes of full sets in one side of a pair of blocks, about.
+BLOCK_BYTES = 8 << 20
+#: Agreement with the pivot from which a member of a large node is of its crowd; how far below that edge a linked one may lie, or above.
+CROWD, REACH = 0.5, 0.25
 #: Agreement of sketches below the threshold by so much is no candidate (over four standard errors).
 SLACK = 0.15
 
+#: Pivots whose sketches may be broadcast; beyond, an exchange.
+BROADCAST_PIVOTS = 30_000
+
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _A = (mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * _GAMMA) | np.uint64(1)).astype(np.uint32)
 _B = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
@@ -52,13 +62,14 @@ class _Words(dict):
     """Hashes of words, each made once, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _words = _Words()
+common.cached(__name__, _words.clear)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -149,11 +160,22 @@ def _plant(trees: int, levels: int):
     return run
 
 
-def _branch(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for whole in batches:
-        for batch in slices(whole, None, most_rows=8192):
-            index, node = _children(np.arange(batch.num_rows), batch.column("node").to_numpy().astype(np.uint64), _matrix(batch.column("sketch")))
-            yield {"node": node.astype(np.int64), "cid": batch.column("cid").to_numpy()[index]}
+def _route(least: float, crowd: float, reach: float, last: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        """Members of large nodes with the pivot's sketch: (no node, member, pivot, agreement) of those near it, (child, member) of those that branch on."""
+        for whole in batches:
+            for batch in slices(whole, None, most_rows=8192):
+                own, cid = _matrix(batch.column("sketch")), batch.column("cid").to_numpy()
+                agree = (own == _matrix(batch.column("other"))).sum(axis=1).astype(np.int32)
+                near = np.arange(len(cid)) if last else np.flatnonzero(agree >= min(crowd, least) * SKETCH)
+                yield {"node": pa.nulls(len(near), pa.int64()), "cid": cid[near], "pivot": batch.column("pivot").to_numpy()[near], "agree": agree[near]}
+                if last:
+                    continue
+                on = np.flatnonzero(agree < (crowd + reach) * SKETCH)
+                index, node = _children(on, batch.column("node").to_numpy()[on].astype(np.uint64), own)
+                yield {"node": node.astype(np.int64), "cid": cid[index], "pivot": cid[index], "agree": np.zeros(len(index), np.int32)}
+
+    return run
 
 
 def _compare(least: float):
@@ -202,65 +224,56 @@ def _compare(least: float):
 
 def _settle(least: float, numerator: int, denominator: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows come sorted by node: links, confirmed on full sets, that join components within each node."""
+        """Rows come sorted by node: links, confirmed on full sets, of stragglers and others that join components within each node."""
         node, members = None, []
 
         def links():
             n = len(members)
-            own = np.frombuffer(b"".join(x[2] for x in members), np.uint16).reshape(n, SKETCH)
-            full = [np.frombuffer(x[3], np.uint64) for x in members]
+            own = np.frombuffer(b"".join(x[3] for x in members), np.uint16).reshape(n, SKETCH)
+            full = [np.frombuffer(x[4], np.uint64) for x in members]
             size = np.array([len(x) for x in full])
-            _, comp = np.unique([x[1] for x in members], return_inverse=True)  # joined components take one number
+            _, comp = np.unique([x[2] for x in members], return_inverse=True)  # joined components take one number
             a, b = [], []
-            for i in range(n - 1):
-                agree = (own[i + 1 :] == own[i]).sum(axis=1)
-                near = np.flatnonzero(agree >= least * SKETCH) + i + 1
-                for j in near[np.argsort(-agree[near - i - 1], kind="stable")].tolist():
+            for i in [i for i, x in enumerate(members) if x[0]]:
+                alike = np.flatnonzero((comp != comp[i]) & (denominator * np.minimum(size, size[i]) >= numerator * np.maximum(size, size[i])))
+                agree = (own[alike] == own[i]).sum(axis=1)
+                near = agree >= least * SKETCH
+                for j in alike[near][np.argsort(-agree[near], kind="stable")].tolist():
                     if comp[i] == comp[j]:
                         continue
                     both = len(np.intersect1d(full[i], full[j], assume_unique=True))
                     if denominator * both >= numerator * (size[i] + size[j] - both):
-                        a.append(members[i][0])
-                        b.append(members[j][0])
+                        a.append(members[i][1])
+                        b.append(members[j][1])
                         comp[comp == comp[j]] = comp[i]
             return {"a": a, "b": b}
 
-        for batch in batches:
-            for v, *x in zip(*(batch.column(c).to_pylist() for c in ("node", "cid", "comp", "sketch", "full")), strict=True):
-                if v != node:
-                    if len(members) > 1:
-                        yield links()
-                    node = v
-                    members.clear()
-                members.append(x)
+        for whole in batches:
+            for batch in slices(whole, "full"):
+                for v, *x in zip(*(batch.column(c).to_pylist() for c in ("node", "straggler", "cid", "comp", "sketch", "full")), strict=True):
+                    if v != node:
+                        if len(members) > 1:
+                            yield links()
+                        node = v
+                        members.clear()
+                    members.append(x)
         if len(members) > 1:
             yield links()
 
     return run
 
 
-def _alike(least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for whole in batches:
-            for batch in slices(whole, None, most_rows=8192):
-                agree = (_matrix(batch.column("sketch")) == _matrix(batch.column("other"))).sum(axis=1)
-                keep = np.flatnonzero(agree >= least * SKETCH)
-                yield {"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep], "agree": agree[keep].astype(np.int32)}
-
-    return run
-
-
 def _confirm(numerator: int, denominator: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            a, b = [], []
-            for x, y, own, other in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "full", "other")), strict=True):
-                p, q = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if denominator * both >= numerator * (len(p) + len(q) - both):
-                    a.append(x)
-                    b.append(y)
-            yield {"a": a, "b": b}
+        for whole in batches:
+            for batch in (y for x in slices(whole, "full", most_bytes=4 << 20) for y in slices(x, "other", most_bytes=4 << 20)):
+                keep = []
+                for i, (own, other) in enumerate(zip(batch.column("full"), batch.column("other"), strict=True)):
+                    p, q = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if denominator * both >= numerator * (len(p) + len(q) - both):
+                        keep.append(i)
+                yield {x: batch.column(x).take(pa.array(keep, pa.int64())) for x in ("a", "b")}
 
     return run
 
@@ -288,7 +301,7 @@ class _Join:
         self.n = shuffle_partitions(docs.sparkSession)
         self.least = threshold[0] / threshold[1] - SLACK
         self.rows = cut(arrow_map(docs, _sets(words), "doc_id long, n_shingles long, cid long, sketch binary"))
-        self.classes = cut(self.rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch")))
+        self.classes = cut(self.rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
         self.labels: DataFrame | None = None
 
     def labelled(self, df: DataFrame, column: str = "cid", out: str = "comp") -> DataFrame:
@@ -316,12 +329,15 @@ class _Join:
         full = members.join(self.classes.select("cid", "sketch"), "cid").select("node", "cid", "comp", "sketch")
         return arrow_map(full.repartition(self.n, "node").sortWithinPartitions("node"), _compare(self.least), "a long, b long, agree int")
 
-    def starred(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs of each large node's members (cid) with its least one (pivot)."""
-        pairs = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-        own = self.classes.select(F.col("cid").alias("b"), "sketch")
-        other = self.classes.select(F.col("cid").alias("a"), F.col("sketch").alias("other"))
-        return arrow_map(pairs.join(own, "b").join(other, "a").select("a", "b", "sketch", "other"), _alike(self.least), "a long, b long, agree int")
+    def routed(self, large: DataFrame, last: bool) -> DataFrame:
+        """Members of large nodes (node, cid) against their pivots, as ``_route`` gives them."""
+        held = large.join(large.groupBy("cid").agg(F.count("*").alias("nodes")), "cid")
+        pivots, n = counted(held.groupBy("node").agg(F.max(F.struct("nodes", "cid")).alias("x")).select("node", F.col("x.cid").alias("pivot")))
+        sketches = self.classes.select(F.col("cid").alias("pivot"), F.col("sketch").alias("other"))
+        sketches = sketches.join(F.broadcast(pivots.select("pivot").distinct()) if n <= BROADCAST_PIVOTS else pivots.select("pivot").distinct(), "pivot", "left_semi")
+        rows = large.join(F.broadcast(pivots) if n <= BROADCAST_IDS else pivots, "node").join(self.classes.select("cid", "sketch"), "cid")
+        met = rows.join(F.broadcast(sketches) if n <= BROADCAST_PIVOTS else sketches, "pivot").select("node", "cid", "pivot", "sketch", "other")
+        return cut(arrow_map(met, _route(self.least, CROWD, REACH, last), "node long, cid long, pivot long, agree int").distinct())
 
     def confirm(self, candidates: DataFrame) -> None:
         """Confirm candidates on full sets: first each class's best, then all that would still join two components."""
@@ -350,41 +366,41 @@ class _Join:
         return cut(arrow_map(both, _confirm(*self.threshold), "a long, b long"))
 
     def run(self) -> None:
-        frontier, candidates = arrow_map(self.classes, _plant(self.trees, FIRST_LEVELS), "node long, cid long"), []
-        for _ in range(FIRST_LEVELS, DEPTH):
-            sizes = cut(frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1"))
-            members = cut(frontier.join(sizes, "node"))
-            candidates.append(self.compared(members.where(F.col("n") <= SMALL).withColumn("comp", F.col("cid"))))
-            large = members.where(F.col("n") > SMALL)
-            candidates.append(self.starred(large))
-            deeper = large.join(self.classes.select("cid", "sketch"), "cid").select("node", "cid", "sketch")
-            frontier, n = counted(arrow_map(deeper, _branch, "node long, cid long").distinct())
+        frontier, candidates, crowds = arrow_map(self.classes, _plant(self.trees, FIRST_LEVELS), "node long, cid long"), [], []
+        for level in range(FIRST_LEVELS, DEPTH + 1):
+            sizes = cut(frontier.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+            members, n = counted(frontier.join(sizes, "node"))
             if not n:
                 break
-        self.confirm(functools.reduce(DataFrame.unionByName, candidates))
-        if n:
-            self.exhaust(frontier)
-
-    def exhaust(self, frontier: DataFrame) -> None:
-        """What stayed in large nodes: all pairs of different components, by pairs of blocks, confirmed on full sets where they meet.
-
-        Nodes that share members (of the same group, in other trees) are one group here, so each pair of blocks comes once; each gives
-        links for a spanning forest of its members only."""
-        own = cut(self.labelled(frontier))
-        whole = own.groupBy("node").agg(F.min("cid").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed, n = counted(whole.where("lo <> hi").select("node", "pivot"))
+            candidates.append(self.compared(members.where(F.col("n") <= SMALL).withColumn("comp", F.col("cid"))))
+            routed = self.routed(members.where(F.col("n") > SMALL).select("node", "cid"), level == DEPTH)
+            near = routed.where("node IS NULL")
+            star = near.where((F.col("pivot") != F.col("cid")) & (F.col("agree") >= F.lit(self.least * SKETCH)))
+            candidates.append(star.select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b"), "agree"))
+            crowds.append(near.where(F.lit(level == DEPTH) | (F.col("agree") >= F.lit(CROWD * SKETCH))).select("pivot", "cid"))
+            frontier = routed.where("node IS NOT NULL").select("node", "cid")
+        if candidates:
+            self.confirm(functools.reduce(DataFrame.unionByName, candidates))
+            self.exhaust(functools.reduce(DataFrame.unionByName, crowds).distinct())
+
+    def exhaust(self, crowds: DataFrame) -> None:
+        """Crowds (pivot, cid) of several components: their stragglers, outside the crowd's largest component, against all its members, by
+        pairs of blocks, confirmed on full sets where they meet."""
+        own = cut(self.labelled(crowds).join(self.classes.select("cid", "n_shingles"), "cid"))
+        parts = own.groupBy("pivot", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+        whole = parts.groupBy("pivot").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "comp", "held")).alias("largest"))
+        mixed = whole.where(F.col("n") > F.col("most.n")).select("pivot", F.col("most.comp").alias("main"), "n", "held", (F.col("n") - F.col("most.n")).alias("s"), (F.col("held") - F.col("largest.held")).alias("s_held"))
+        blocks = lambda n, held: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(held) * 8 / BLOCK_BYTES)).cast("long")
+        mixed, n = counted(mixed.select("pivot", "main", blocks("n", "held").alias("across"), blocks("s", "s_held").alias("down")))
         if not n:
             return
-        stars = own.join(mixed, "node").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-        groups = components(stars).withColumnRenamed("comp", "node")
-        sizes = cut(groups.groupBy("node").agg(F.count("*").alias("n")))
-        members = self.labelled(groups).join(self.classes.select("cid", "sketch"), "cid").join(self.sets(groups.select("cid")), "cid")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        dealt = members.join(sizes, "node").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("cid"), blocks)})
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        low, high = F.least("mine", "with"), F.greatest("mine", "with")
-        pairs = dealt.select(F.xxhash64("node", low, high).alias("node"), "cid", "comp", "sketch", "full")
-        self.link(cut(arrow_map(pairs.repartition(self.n, "node").sortWithinPartitions("node"), _settle(self.least, *self.threshold), "a long, b long").distinct()))
+        members = cut(own.join(F.broadcast(mixed) if n <= BROADCAST_IDS else mixed, "pivot").drop("n_shingles"))
+        places = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+        down = members.where("comp <> main").withColumns({"straggler": F.lit(True), "i": F.pmod(F.xxhash64("cid"), "down"), "j": F.explode(places("across"))})
+        across = members.withColumns({"straggler": F.lit(False), "j": F.pmod(F.xxhash64("cid"), "across"), "i": F.explode(places("down"))})
+        dealt = down.unionByName(across).select(F.xxhash64("pivot", "i", "j").alias("node"), "straggler", "cid", "comp")
+        dealt = dealt.join(self.classes.select("cid", "sketch"), "cid").join(self.sets(members.select("cid").distinct()), "cid")
+        self.link(cut(arrow_map(dealt.repartition(self.n, "node").sortWithinPartitions("node"), _settle(self.least, *self.threshold), "a long, b long").distinct()))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), trees: int = TREES) -> DataFrame:
@@ -393,11 +409,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     Documents are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` at least; with fewer words
     the whole sequence is one shingle. Null, empty and blank texts are linked with nothing. Repeated rows are copies; a null id never
     names a component unless all its members have none. An empty table gives no rows."""
-    join = _Join(only(docs, "doc_id", "text"), words, threshold, trees)
-    join.run()
-    named = cut(join.labelled(join.classes.select("cid", "first")))
-    leaders = cut(named.groupBy("comp").agg(F.min("first").alias("component_id")))
-    by_class = cut(named.join(leaders, "comp").select(F.col("cid").alias("_cid"), "component_id"))
+    with common.temporary(docs.sparkSession) as keep:
+        join = _Join(only(docs, "doc_id", "text"), words, threshold, trees)
+        join.run()
+        named = cut(join.labelled(join.classes.select("cid", "first")))
+        leaders = cut(named.groupBy("comp").agg(F.min("first").alias("component_id")))
+        by_class = cut(named.join(leaders, "comp").select(F.col("cid").alias("_cid"), "component_id"))
+        keep(join.rows, by_class)
     met = join.rows.select("doc_id", "n_shingles", "cid", F.coalesce("cid", F.xxhash64("doc_id")).alias("_key")).join(by_class, F.col("_key") == F.col("_cid"), "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = met.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -408,12 +426,15 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[in
     """The rows of ``docs`` less all but one document (the least doc_id) of each group of near duplicates; all columns stay.
 
     Of rows that are equal in id and text one stays. Rows without an id can't be told apart and all stay."""
-    judged = cut(near_duplicates(docs, words, threshold, trees))
-    gone = cut(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
+    with common.temporary(docs.sparkSession) as keep:
+        judged = cut(near_duplicates(docs, words, threshold, trees))
+        gone, n = counted(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct())
+        repeated = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+        keep(gone)
+    if n <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    left = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    if repeated:
         known, unknown = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL")
         left = known.dropDuplicates(["doc_id", "text"]).unionByName(unknown)
     return left

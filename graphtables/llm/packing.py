@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, only, shuffle_partitions, slices
+from .common import arrow_map, cached, cut, only, shuffle_partitions, slices
 from .pretokens import codec, split_batch
 
 SEQUENCE = 2048
@@ -25,8 +25,9 @@ OPEN_BINS = 1024
 GROUP = 8192
 END = 0
 #: Most pre-tokens whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 _ids: dict[str, bytes] = {}
+cached(__name__, _ids.clear)
 
 
 def encode_batch(texts: pa.Array, path: str) -> list[bytes]:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import tokenizer_path
+from .common import cached, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
 #: Marks the first part of a text, which has no blank before it.
@@ -87,3 +87,6 @@ def codec(path: str):
         return fast.encode_ordinary(part)
 
     return encode
+
+
+cached(__name__, codec.cache_clear)
