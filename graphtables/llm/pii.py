@@ -1,14 +1,16 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal what they found.
 
-Patterns find the protected entities (emails, ip addresses, card and phone numbers). A term discloses an entity as far as knowing the
+Patterns find the protected entities (emails, ip addresses, card and phone numbers; and keys and other secrets, as the long runs of
+letters and digits that they are, beside the base kinds). A term discloses an entity as far as knowing the
 term tells of the entity: with counts of documents, PMI(term, entity) = log(N n(t,e) / (n(t) n(e))), against all there is to know of
 the entity, log(N / n(e)). A term of a document that holds an entity whose share of that exceeds a threshold is generalised to a mark
 in all documents, and removed beyond a second one. The joint count is shrunk by the number of different texts it comes from: one text is
 some evidence, so that entities of a single mention have disclosing terms too, and copies of one document are no more than that.
 
-DataFrame and SQL functions only. Scale: patterns run in the scan; texts move only where flagged terms are too many to broadcast.
-Only terms rare enough to disclose are paired with a text's entities; counts cover all documents and are pre-aggregated; broadcasts are
-decided on counted rows."""
+DataFrame and SQL functions only. Scale: patterns run in the scan; texts travel once, to their flagged terms. Only terms rare enough to
+disclose are paired with a text's entities; counts cover all documents and are pre-aggregated. Of the documents' words the COMMON most
+frequent unflagged ones are dropped where they are read, by a broadcast of their hashes, whatever the corpus's size; so few words travel,
+and every document's flagged terms are met."""
 
 from __future__ import annotations
 
@@ -17,11 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import staged, temporary
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = len(KINDS)
-NAMES = (*KINDS, "term")
+SECRET, TERM = len(KINDS), len(KINDS) + 1
+NAMES = (*KINDS, "secret", "term")
 # The base patterns. Possessive repeats and the look-behind keep them linear on long runs; they match what the plain forms match, as a
 # run that fails from its first character fails from any other.
 PATTERNS = (
@@ -33,17 +35,17 @@ PATTERNS = (
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: A text without this has no match of the kind.
 _NEEDS = ("@", "[0-9]\\.[0-9]++\\.[0-9]", "[0-9][\\x20-]?[0-9]", "\\+[0-9]")
-MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
+#: A run of 20 or more of letters, digits, - and _, in which a digit follows a letter three times at least: tokens, digests, keys.
+SECRETS = r"(?<![A-Za-z0-9_-])(?=(?:(?:[0-9_-]++|[A-Za-z]++(?![0-9]))*+[A-Za-z]++[0-9]){3})[A-Za-z0-9_-]{20,}+"
+MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[SECRET]", "[TERM]")
 _WORD = r"\p{L}++"
 
 #: Texts' worth that a joint count loses: of s different texts, (s - DISCOUNT) / s of the count is believed.
 DISCOUNT = 0.5
 #: Shares of an entity's information beyond which a term is generalised, removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Rows that may be broadcast, each of a key and some terms.
-BROADCAST_ROWS = 100_000
-#: Flagged terms whose 64-bit hashes may be broadcast.
-BROADCAST_HASHES = 1_000_000
+#: The most frequent unflagged terms, so many at most, whose 64-bit hashes are broadcast.
+COMMON = 100_000
 
 _SPAN = "struct<start:int,k:int,end:int,value:string>"
 
@@ -53,6 +55,7 @@ class Settings:
     discount: float = DISCOUNT
     generalise: float = GENERALISE
     remove: float = REMOVE
+    common: int = COMMON
 
 
 def matches(text: Column, pattern: str, kind: int, keep=lambda value: F.lit(True)) -> Column:
@@ -92,6 +95,16 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def secret_spans(text: Column, base: Column) -> Column:
+    """Spans of secrets that lie in no base span."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.when(text.rlike(SECRETS), _clear(matches(text, SECRETS, SECRET), base)).otherwise(none)
+
+
+def _clear(spans: Column, of: Column) -> Column:
+    return F.filter(spans, lambda x: ~F.exists(of, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     name = F.array(*map(F.lit, NAMES))
@@ -104,25 +117,40 @@ def words(text: Column) -> Column:
 
 
 def holders(seen: DataFrame) -> DataFrame:
-    """(text_key, n, entities, terms): each different text with base spans, how many documents have it, what it names and its words."""
-    rows = seen.where(F.size("base") > 0)
-    entities = F.array_distinct(F.transform("base", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["value"]))))
+    """(text_key, n, entities, terms): each different text with entities, how many documents have it, what it names and its words."""
+    rows = seen.where(F.size("named") > 0)
+    entities = F.array_distinct(F.transform("named", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["value"]))))
     rows = rows.select(F.md5("text").alias("text_key"), entities.alias("entities"), words(F.col("text")).alias("terms"))
     return rows.groupBy("text_key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
 
 
-def disclosing(docs: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): in how many documents each term is."""
+    return docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def common_hashes(counts: DataFrame, flagged: DataFrame, most: int) -> DataFrame:
+    """Hashes of frequent terms, ``most`` at most, none of which is a flagged term's. The least count is a power of two, from a histogram."""
+    size = F.floor(F.log2("n_t")).cast("int")
+    histogram = {x["size"]: x["n"] for x in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}
+    least, total = max(histogram, default=0) + 1, 0
+    while histogram and least > 0 and total + histogram.get(least - 1, 0) <= most:
+        least -= 1
+        total += histogram.get(least, 0)
+    often = counts.where(F.col("n_t") >= F.lit(2.0**least)).select(F.xxhash64("term").alias("_hash")).distinct()
+    return often.join(flagged.select(F.xxhash64("term").alias("_hash")), "_hash", "left_anti")
+
+
+def disclosing(total: float, counts: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
     """(term, share): terms whose greatest share of an entity's information, by shrunk counts, exceeds the threshold.
 
     As a joint count is at most the entity's, a share can exceed it only where n(t) <= N^(1 - threshold) n(e)^threshold; other pairs are
     not made. Entities that only one text names all have the same counts with its terms, and stand as one."""
-    total = float(docs.count())
     named = held.select("text_key", "n", F.explode("entities").alias("entity"))
     per_entity = named.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"))
     per_entity = per_entity.where(F.col("n_e") < total).withColumn("most", F.pow(F.lit(total), 1 - settings.generalise) * F.pow("n_e", F.lit(settings.generalise)))
     entity = F.when(F.col("texts") > 1, F.col("entity")).otherwise(F.col("text_key"))
-    met = cut(named.join(per_entity, "entity").select("text_key", "n", entity.alias("entity"), "n_e", "most").distinct())
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    met = staged(named.join(per_entity, "entity").select("text_key", "n", entity.alias("entity"), "n_e", "most").distinct(), "pii")
     rare = held.select("text_key", F.explode("terms").alias("term")).join(counts, "term").join(met.groupBy("text_key").agg(F.max("most").alias("upto")), "text_key")
     pairs = rare.where(F.col("n_t") <= F.col("upto")).select("text_key", "term", "n_t").join(met, "text_key").where(F.col("n_t") <= F.col("most"))
     joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
@@ -132,32 +160,30 @@ def disclosing(docs: DataFrame, held: DataFrame, settings: Settings) -> DataFram
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with ``base`` (spans of the patterns), ``spans`` (those and the terms', by start, then kind) and ``removed`` (terms to leave out).
-
-    Null texts count as empty and have no spans; a document without base spans gets the terms' alone; repeated rows are treated alike; an
-    empty table stays empty. Columns of these names in ``docs`` are replaced."""
-    docs = docs.drop("base", "spans", "removed", "text_key", "_terms", "_key")
-    seen = docs.withColumn("base", base_spans(F.col("text")))
-    held = cut(holders(seen))
-    flagged = cut(disclosing(docs, held, settings))
-    many = flagged.count()
-    # keys and words stand before the explode, else they would be made once a word
-    rows = docs.select(F.md5("text").alias("_key"), words(F.col("text")).alias("_words")).select("_key", F.explode("_words").alias("term"))
-    if many <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
-    elif many <= BROADCAST_HASHES:  # few words of the documents pass, so few travel
-        hashes = flagged.select(F.xxhash64("term").alias("_hash")).distinct()
-        rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
-    rows = rows.join(flagged, "term")
-    by_text = cut(rows.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")))
-    if by_text.count() <= BROADCAST_ROWS:
-        by_text = F.broadcast(by_text)
-    key = F.when(F.col("text").rlike(_WORD), F.md5("text")).otherwise(F.concat(F.lit("-"), F.xxhash64(F.length("text"), F.crc32("text")).cast("string")))
-    met = seen.withColumn("text_key", key).join(by_text, F.col("text_key") == F.col("_key"), "left").drop("_key", "text_key")
-    own = matches(F.col("text"), _WORD, TERM, lambda m: F.array_contains(F.col("_terms"), F.lower(m)))
-    clear = F.filter(own, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    spans = F.when(F.col("_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear)))
-    none = F.array().cast("array<string>")
+    """``docs`` with ``base`` (spans of the base patterns), ``named`` (those and the secrets'), ``spans`` (those and the terms', by start,
+    then kind) and ``removed`` (terms to leave out).
+
+    Null texts count as empty and have no spans; a document without entities gets the terms' alone; repeated rows are treated alike; an
+    empty table stays empty; equal shares need no order. Columns of these names in ``docs`` are replaced, other columns stay."""
+    docs = docs.drop("base", "named", "spans", "removed", "_terms", "_removed", "_key", "_at")
+    text, none = F.col("text"), F.array().cast("array<string>")
+    seen = docs.withColumn("base", base_spans(text)).withColumn("named", F.array_sort(F.concat("base", secret_spans(text, F.col("base")))))
+    with temporary(docs.sparkSession) as keep:
+        held = staged(holders(seen), "pii")
+        counts = staged(term_counts(docs), "pii")
+        flagged = staged(disclosing(float(docs.count()), counts, held, settings), "pii")
+        often = common_hashes(counts, flagged, settings.common)
+        # keys and words stand before the explode, else they would be made once a word
+        rows = docs.select(F.xxhash64("text").alias("_key"), words(text).alias("_words")).select("_key", F.explode("_words").alias("term"))
+        rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(often), "_hash", "left_anti").drop("_hash").join(flagged, "term")
+        marked = F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")
+        by_text = staged(rows.groupBy("_key").agg(*marked), "pii")
+        keep(by_text)
+    # texts of one key would share their lists, which name flagged terms only; a text without words needs no list and goes anywhere
+    key = F.when(text.rlike(_WORD), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
+    met = seen.withColumn("_at", key).join(by_text, F.col("_at") == F.col("_key"), "left").drop("_key", "_at")
+    own = _clear(matches(text, _WORD, TERM, lambda m: F.array_contains(F.col("_terms"), F.lower(m))), F.col("named"))
+    spans = F.when(F.col("_terms").isNull(), F.col("named")).otherwise(F.array_sort(F.concat("named", own)))
     return met.withColumn("spans", spans).withColumn("removed", F.coalesce("_removed", none)).drop("_terms", "_removed")
 
 

@@ -42,7 +42,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int):
         return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    named = F.size("named").cast("long")
+    more = (named - F.size("base")).cast("long").alias("n_secret"), named.alias("n_named")
+    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), *more)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
