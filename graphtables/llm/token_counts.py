@@ -1,160 +1,118 @@
 """Token counts of whole texts, without materialising ids.
 
-Method: per block of documents, the frequencies of its distinct pre-tokens; these meet, dealt by a hash of the pre-token,
-the number of pieces of each, which is worked out once per distinct pre-token; the products are summed per document.
+Method: the distinct pre-tokens of the corpus, with the number of documents that hold each, are one table; pieces are counted there, once
+per distinct pre-token. That table is joined to the documents' pre-token frequencies, and the products are summed per document.
 
-Scale: one shuffle of compressed frequencies (no text, no ids). Blocks are numbered and dealt by (span of blocks, hash
-bucket), so that a pre-token that every document holds never has more than a span's rows in one task."""
+Scale: a pre-token that is in very many documents would be a hot key of that join, so the table is joined in two parts. The most frequent
+pre-tokens, a fixed number at most, are broadcast to where texts are read, and their share of each document's sum is made there. What is
+left, rare by rank, meets the rest of the table in a shuffled join; only those (pre-token, document, count) rows travel, no text, no ids."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, shuffle_partitions, slices
+from .common import arrow_map, only, slices, staged, temporary
 from .pretokens import codec, split_batch
 
-BUCKETS = 256
-#: Blocks of one scan task that share their buckets.
-SPAN = 64
+#: Most pre-tokens that are broadcast, and bytes of each.
+HOT, HOT_BYTES = 1 << 17, 48
+#: Distinct pre-tokens that a task sums up before it passes them on.
+HELD = 200_000
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack(f"<{len(raw)}I", *map(len, raw)), *raw]))
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of each (pre-token, row) of the texts that occurs: the pre-token's number, the row, how often; and the pre-tokens."""
+    rows, parts, keys = split_batch(texts)
+    pairs, counts = np.unique(parts.astype(np.int64) << 20 | rows, return_counts=True)
+    return pairs >> 20, pairs & 0xFFFFF, counts, keys
 
 
-def _unpack(blob: bytes, n: int) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 4 * n
-    for size in struct.unpack_from(f"<{n}I", raw):
-        out.append(raw[at : at + size])
-        at += size
-    return out
+def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return slices(whole, "text", most_rows=20_000, most_bytes=4 << 20)
 
 
-def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    task = TaskContext.get().partitionId()
-    number = 0
+def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    held: dict[str, int] = {}
     for whole in batches:
-        for batch in slices(whole, "text", most_rows=20_000, most_bytes=6 << 20):
-            block = (task << 28) + number
-            span = (task << 16) // 16 + number // SPAN
-            number += 1
-            rows, parts, keys = split_batch(batch.column("text"))
-            pairs, counts = np.unique(parts.astype(np.int64) << 20 | rows, return_counts=True)
-            part, row = pairs >> 20, (pairs & 0xFFFFF).astype(np.uint32)
-            per_part = np.bincount(part, minlength=len(keys))
-            raw = [k.encode() for k in keys]
-            bucket = np.fromiter((xxhash.xxh32_intdigest(k) % BUCKETS for k in raw), np.int64, len(raw))
-            out = {"span": [span], "bucket": [-1], "block": [block], "blob": [_pack(
-                pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64),
-                np.asarray(pc.is_null(batch.column("doc_id"))).astype(np.uint8),
-                np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64))]}
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            starts = np.concatenate([[0], np.cumsum(per_part)])
-            for b in range(BUCKETS):
-                mine = order[ends[b] : ends[b + 1]]
-                if not len(mine):
-                    continue
-                lengths = per_part[mine]
-                at = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                own = [raw[i] for i in mine.tolist()]
-                out["span"].append(span)
-                out["bucket"].append(b)
-                out["block"].append(block)
-                out["blob"].append(_pack(np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own), lengths.astype(np.uint32), row[at], counts[at].astype(np.uint32)))
-            yield out
-
-
-def _weigh(path: str):
+        for batch in _slices(whole):
+            part, _, _, keys = _pairs(batch.column("text"))
+            for key, n in zip(keys, np.bincount(part, minlength=len(keys)).tolist(), strict=True):
+                held[key] = held.get(key, 0) + n
+            if len(held) > HELD:
+                yield {"part": list(held), "n": list(held.values())}
+                held.clear()
+    yield {"part": list(held), "n": list(held.values())}
+
+
+def _encode(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows come sorted by span and bucket: the pieces of a pre-token are counted when its bucket first shows it."""
         encode = codec(path)
-        known: dict[bytes, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        at = None
-
-        def flush():
-            if sums:
-                yield {"block": list(sums), "head": [False] * len(sums), "blob": [_pack(np.trim_zeros(x, "b")) for x in sums.values()]}
-                sums.clear()
-
-        for batch in batches:
-            for span, bucket, block, blob in zip(*(batch.column(x).to_pylist() for x in ("span", "bucket", "block", "blob")), strict=True):
-                if bucket < 0:
-                    yield {"block": [block], "head": [True], "blob": [blob]}
-                    continue
-                if at is None or span != at[0]:
-                    yield from flush()
-                if at != (span, bucket):
-                    known.clear()
-                    at = (span, bucket)
-                lengths, text, per_part, rows, counts = _unpack(blob, 5)
-                ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
-                pieces = np.empty(len(ends), np.int64)
-                start = 0
-                for i, end in enumerate(ends):
-                    key = text[start:end]
-                    n = known.get(key)
-                    if n is None:
-                        n = known[key] = len(encode(key.decode()))
-                    pieces[i] = n
-                    start = end
-                rows = np.frombuffer(rows, np.uint32)
-                weights = np.repeat(pieces, np.frombuffer(per_part, np.uint32)) * np.frombuffer(counts, np.uint32)
-                add = np.bincount(rows, weights=weights).astype(np.int64)
-                old = sums.get(block)
-                if old is None or len(old) < len(add):
-                    old, add = add, (np.zeros(0, np.int64) if old is None else old)
-                old[: len(add)] += add
-                sums[block] = old
-        yield from flush()
+        for whole in batches:
+            for batch in slices(whole, "part"):
+                yield {"part": batch.column("part"), "n": batch.column("n"), "pieces": [len(encode(x)) for x in batch.column("part").to_pylist()]}
 
     return run
 
 
-def _per_document(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows come sorted by block, the block's head first."""
-    head, total = None, None
+def piece_table(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(part, n, pieces): each distinct pre-token of ``docs`` once, in how many documents it is, and its pieces."""
+    parts = arrow_map(only(docs, "text"), _distinct, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return arrow_map(parts, _encode(tokenizer), "part string, n long, pieces long")
+
+
+def hot_pieces(table: DataFrame, most: int) -> dict[str, int]:
+    """The pieces of the most frequent pre-tokens, ``most`` at most: those of at least a power of two of documents, from a histogram."""
+    short = table.where(F.octet_length("part") <= HOT_BYTES)
+    histogram = {x["size"]: x["rows"] for x in short.groupBy(F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("size")).agg(F.count("*").alias("rows")).collect()}
+    least, total = max(histogram, default=0) + 1, 0
+    while histogram and least > 0 and total + histogram.get(least - 1, 0) <= most:
+        least -= 1
+        total += histogram.get(least, 0)
+    rows = short.where(F.col("n") >= (1 << least if least else 0)).select("part", "pieces").toArrow()
+    return dict(zip(rows.column("part").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
 
-    def flush():
-        if head is not None:
-            ids, null, size = (np.frombuffer(x, t) for x, t in zip(_unpack(head, 3), (np.int64, np.uint8, np.int64), strict=True))
-            n = np.zeros(len(ids), np.int64)
-            n[: len(total)] = total
-            yield {"doc_id": pa.array(ids, mask=null.astype(bool)), "n_bytes": size, "n_tokens": n}
 
-    for batch in batches:
-        for is_head, blob in zip(batch.column("head").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if is_head:
-                yield from flush()
-                head, total = blob, np.zeros(0, np.int64)
-            else:
-                add = np.frombuffer(_unpack(blob, 1)[0], np.int64)
-                if len(total) < len(add):
-                    total, add = add.copy(), total
-                total[: len(add)] += add
-    yield from flush()
+def _frequencies(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        """A row of each document with the sum over its hot pre-tokens, and one of each of its other pre-tokens with its count."""
+        hot, number = shared.value, TaskContext.get().partitionId() << 36
+        for whole in batches:
+            for batch in _slices(whole):
+                part, row, counts, keys = _pairs(batch.column("text"))
+                known = np.fromiter((hot.get(x, -1) for x in keys), np.int64, len(keys))[part]
+                n, rare = batch.num_rows, np.flatnonzero(known < 0)
+                total = np.bincount(row, weights=np.maximum(known, 0) * counts, minlength=n).astype(np.int64)
+                place = number + np.arange(n)
+                number += n
+                size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+                yield {"row": place, "doc_id": batch.column("doc_id"), "n_bytes": size, "n": total, "part": pa.nulls(n, pa.string())}
+                if len(rare):
+                    nothing = pa.nulls(len(rare), pa.int64())
+                    yield {"row": place[row[rare]], "doc_id": nothing, "n_bytes": nothing, "n": counts[rare], "part": pa.array(keys, pa.string()).take(pa.array(part[rare]))}
+
+    return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", hot: int = HOT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes (UTF-8), n_tokens, as the library gives them for the whole text.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids each keep their row; other columns are ignored."""
-    n = shuffle_partitions(docs.sparkSession)
-    parts = arrow_map(only(docs, "doc_id", "text"), _frequencies, "span long, bucket int, block long, blob binary")
-    dealt = parts.repartition(n, "span", "bucket").sortWithinPartitions("span", "bucket")
-    sums = arrow_map(dealt, _weigh(tokenizer), "block long, head boolean, blob binary")
-    met = sums.repartition(n, "block").sortWithinPartitions("block", F.col("head").desc())
-    return arrow_map(met, _per_document, "doc_id long, n_bytes long, n_tokens long")
+    A null or empty text has 0 bytes and 0 tokens. Repeated rows and null ids each keep their row; other columns are ignored, whatever
+    their names; an empty table gives no rows. ``hot`` is the bound of the pre-tokens that are broadcast; the result doesn't depend on it."""
+    spark = docs.sparkSession
+    with temporary(spark) as keep:
+        table = staged(piece_table(docs, tokenizer), "token_counts")
+        shared = spark.sparkContext.broadcast(hot_pieces(table, hot))
+        found = staged(arrow_map(only(docs, "doc_id", "text"), _frequencies(shared), "row long, doc_id long, n_bytes long, n long, part string"), "token_counts")
+        rare = found.where("part IS NOT NULL").select("row", F.col("n").alias("count"), "part").join(table.select("part", "pieces"), "part")
+        sums = staged(rare.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("count") * F.col("pieces")).alias("more")), "token_counts")
+        shared.unpersist()
+        keep(found, sums)
+    whole = found.where("part IS NULL").join(sums, F.col("row") == F.col("_row"), "left")
+    return whole.select("doc_id", "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
