@@ -1,8 +1,11 @@
 """Layout-aware rendering of HTML to text.
 
 A small tree builder (implied end tags, void and raw-text elements, stray end tags) makes the page's tree; visibility rules drop what
-a browser would not paint; the rest is laid out: paragraphs and headings between blank lines, other blocks on lines of their own,
-list items with their marks, preformatted text as it is, table cells aligned in columns. All visible text is emitted, whole.
+a browser would not paint: elements that are never drawn, the hidden attribute, and display and visibility of style attributes and of
+the page's own style elements (rules of single compound selectors of names, ids and classes, by specificity; rules inside of @media and
+the like and those of other selectors hide nothing). The rest is laid out: paragraphs and headings between blank lines, other blocks on
+lines of their own, list items with their marks, preformatted text as it is, table cells aligned in columns, also beside spanning ones.
+All visible text is emitted, whole; only blanks are bounded: of indents (DEEPEST levels) and of columns (WIDEST characters).
 
 One map over the table, one page at a time; no recursion, so deep nesting costs no stack."""
 
@@ -42,37 +45,105 @@ IN_HEAD = frozenset("base link meta script style template title noscript".split(
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|[!?/][^>]*+(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)([^;]*)", re.I)
+_STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
+_COMPOUND = re.compile(r"(?:\*|([a-z][\w-]*))?((?:[.#][\w-]+)*)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 #: Widest column that is filled up with blanks.
 WIDEST = 48
 
 
 class Node:
-    __slots__ = ("children", "hidden", "name", "start")
+    __slots__ = ("across", "children", "down", "hidden", "name", "seen", "start")
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
+    def __init__(self, name: str, hidden: bool = False, start: int = 1, seen: bool | None = None, across: int = 1, down: int = 1):
         self.name, self.hidden, self.start, self.children = name, hidden, start, []
+        self.seen, self.across, self.down = seen, across, down  # seen: own visibility, then that which holds; cells' spans
 
 
-def _attributes(rest: str, of: str) -> tuple[bool, int]:
-    """Whether they hide the element, and where a list's numbers start."""
-    if "hid" not in (low := rest.lower()) and "none" not in low and "collapse" not in low and "start" not in low:
-        return False, 1
-    hidden, start = False, 1
-    for name, value in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" and value.lower() != "until-found" or name == "style" and _HIDING.search(html.unescape(value)) or of == "input" and name == "type" and value.lower() == "hidden":
-            hidden = True
+def _declared(style: str) -> list[tuple[bool, str, str]]:
+    """(important, property, value) of display and visibility, in order."""
+    return [(True if "!" in rest and "important" in rest.lower() else False, name.lower(), value.lower()) for name, value, rest in _DECLARED.findall(style)]
+
+
+def hiding_rules(page: str) -> list[tuple]:
+    """(name, id, classes, specificity, order, declarations) of the rules of the page's style elements that may hide something."""
+    rules = []
+    for css in _STYLE.findall(page):
+        low = css.lower()
+        if "none" not in low and "visibility" not in low:
+            continue
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S).replace("<!--", " ").replace("-->", " ")
+        at = 0
+        while (brace := css.find("{", at)) >= 0:
+            head = css[at:brace].rpartition(";")[2].strip()
+            if head.startswith("@"):  # its whole block goes
+                depth, at = 1, brace + 1
+                while depth and at < len(css):
+                    m = re.compile(r"[{}]").search(css, at)
+                    if m is None:
+                        at = len(css)
+                        break
+                    depth += 1 if m[0] == "{" else -1
+                    at = m.end()
+                continue
+            end = css.find("}", brace)
+            end = len(css) if end < 0 else end
+            found = _declared(css[brace + 1 : end])
+            at = end + 1
+            for selector in head.split(",") if found else ():
+                m = _COMPOUND.fullmatch(selector.strip())
+                if m is None or not selector.strip():
+                    continue
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                ids, classes = {x[1:] for x in marks if x[0] == "#"}, frozenset(x[1:] for x in marks if x[0] == ".")
+                if len(ids) < 2:
+                    rules.append(((m[1] or "").lower(), next(iter(ids), ""), classes, (len(ids), len(classes), int(bool(m[1]))), len(rules), found))
+    return rules
+
+
+def _attributes(rest: str, of: str, rules: list[tuple]) -> tuple[bool, int, bool | None, int, int]:
+    """Whether the element is hidden, where a list's numbers start, its own visibility, and its spans."""
+    low = rest.lower()
+    if not rules and not any(x in low for x in ("hid", "none", "collapse", "start", "visib", "span", "display")):
+        return False, 1, None, 1, 1
+    hidden, start, seen, across, down, own, ident, classes = False, 1, None, 1, 1, "", "", frozenset()
+    for name, value in reversed(_ATTRIBUTE.findall(rest)):  # the first of a name counts
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if name == "hidden":
+            hidden = value.lower() != "until-found"
+        elif name == "style":
+            own = value
+        elif of == "input" and name == "type":
+            hidden |= value.lower() == "hidden"
         elif name == "start" and re.fullmatch(r"[+-]?[0-9]{1,9}", value):
             start = int(value)
-    return hidden, start
+        elif name == "colspan" and re.fullmatch(r"[0-9]{1,4}", value):
+            across = min(max(1, int(value)), 1000)
+        elif name == "rowspan" and re.fullmatch(r"[0-9]{1,5}", value):
+            down = min(int(value), 65534)
+        elif name == "id":
+            ident = value
+        elif name == "class":
+            classes = frozenset(value.split())
+    found = [((x[0], 1, (0, 0, 0), i), x[1:]) for i, x in enumerate(_declared(own))] if own else []
+    for name, want, needs, specificity, order, declared in rules:
+        if (not name or name == of) and (not want or want == ident) and needs <= classes:
+            found += [((x[0], 0, specificity, order), x[1:]) for x in declared]
+    for _, (what, value) in sorted(found, key=lambda x: x[0]):
+        if what == "display":
+            hidden = value == "none"
+        elif value in ("visible", "hidden", "collapse"):
+            seen = value == "visible"
+    return hidden, start, seen, across, down
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The page's tree, and its tables in the order of their opening tags."""
     root = Node("html")
     stack, tables = [root], []
+    rules = hiding_rules(page)
+    veiled = False  # something has a visibility of its own
     open_names = {"html": 1}
 
     def pop_to(i: int) -> None:
@@ -127,12 +198,15 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     if stack[i].name in SCOPE and name not in SCOPE | {"tr", "thead", "tbody", "tfoot"}:
                         break
             continue
-        hidden, start = _attributes(m["rest"], name)
+        hidden, start, seen, across, down = _attributes(m["rest"], name, rules)
+        veiled |= seen is not None
         if name in ("html", "body"):
             close({"head"}, set())
-            stack[0 if name == "html" else -1].hidden |= hidden and name == "html"
+            if name == "html":
+                root.hidden |= hidden
+                root.seen = seen if seen is not None else root.seen
             if name == "body" and not open_names.get("body"):
-                node = Node("body", hidden)
+                node = Node("body", hidden, seen=seen)
                 stack[-1].children.append(node)
                 stack.append(node)
                 open_names["body"] = 1
@@ -146,7 +220,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if name[0] == "h" and name[1:] in "123456" and stack[-1].name[0] == "h" and stack[-1].name[1:] in set("123456"):
             pop_to(len(stack) - 1)
         drawn = open_names.get("svg") or open_names.get("math")
-        node = Node(name, hidden or name in UNSEEN or bool(drawn) and name in UNSEEN_DRAWN, start)
+        node = Node(name, hidden or name in UNSEEN or bool(drawn) and name in UNSEEN_DRAWN, start, seen, across, down)
         stack[-1].children.append(node)
         empty = bool(drawn) and m["rest"].endswith("/")
         if (name in RAW or name in ESCAPABLE_RAW) and not empty:
@@ -160,6 +234,12 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 tables.append(node)
             stack.append(node)
             open_names[name] = open_names.get(name, 0) + 1
+    if veiled:  # visibility comes from the nearest element that has one
+        todo = [(root, True)]
+        while todo:
+            x, above = todo.pop()
+            x.seen = above if x.seen is None else x.seen
+            todo.extend((c, x.seen) for c in x.children if not isinstance(c, str))
     return root, tables
 
 
@@ -225,6 +305,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
                     page.line()
                 else:
                     page.flow.clear()
+                    page.gap += 1
                 continue
             if name == "pre":
                 page.line(1)
@@ -235,7 +316,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
             elif name == "li":
                 page.line()
                 kind = lists[-1] if lists else ["ul", 1]
-                page.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
+                page.mark = "" if x.seen is False else f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
                 page.indent = min(max(1, len(lists)), DEEPEST)
             elif name == "dd":
@@ -246,7 +327,7 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
             elif name in APART:
                 page.flow.append(" ")
             todo.append(("close", x))
-            todo.extend(("text", c) if isinstance(c, str) else ("open", c) for c in reversed(x.children))
+            todo.extend(("text", c) if isinstance(c, str) else ("open", c) for c in reversed(x.children) if x.seen is not False or not isinstance(c, str))
             continue
         if name == "pre":
             pre -= 1
@@ -278,46 +359,77 @@ def layout(root: Node, drawn: dict[int, list[str]]) -> list[str]:
 
 
 def _draw(table: Node, drawn: dict[int, list[str]]) -> list[str]:
-    """A table's caption, then its rows, cells of a column beginning at the same place."""
+    """A table's caption, then its rows, cells of a column beginning at the same place; a spanning cell keeps its columns and rows."""
     captions, rows, loose = [], [], []
+    reached: dict[int, float] = {}  # of columns that cells of earlier rows reach into: how many more rows
     queue = list(reversed(table.children))
+
+    def add(cells: list[Node]) -> None:
+        row, column = [], 0
+        for column in [c for c, n in reached.items() if n <= 0]:
+            del reached[column]
+        column, fresh = 0, {}
+        for cell in cells:
+            while column in reached:
+                column += 1
+            row.append((column, cell.across, layout(cell, drawn)))
+            if cell.down != 1:
+                fresh |= dict.fromkeys(range(column, column + cell.across), cell.down - 1 if cell.down else float("inf"))
+            column += cell.across
+        for c in reached:
+            reached[c] -= 1
+        reached.update(fresh)
+        rows.append(row)
+
     while queue:
         x = queue.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and table.seen is not False:
                 loose.append(x)
         elif x.hidden:
             continue
         elif x.name in ("thead", "tbody", "tfoot", "colgroup"):
-            queue.extend(reversed(x.children))
+            reached.clear()
+            queue.extend(reversed([c for c in x.children if not isinstance(c, str) or x.seen is not False]))
         elif x.name == "caption":
             captions.extend(layout(x, drawn))
         elif x.name == "tr":
-            rows.append([layout(c, drawn) for c in x.children if not isinstance(c, str) and not c.hidden and c.name in ("td", "th")])
-            loose.extend(c for c in x.children if isinstance(c, str) and c.strip() or not isinstance(c, str) and c.name not in ("td", "th"))
+            add([c for c in x.children if not isinstance(c, str) and not c.hidden and c.name in ("td", "th")])
+            loose.extend(c for c in x.children if isinstance(c, str) and c.strip() and x.seen is not False or not isinstance(c, str) and c.name not in ("td", "th"))
         elif x.name in ("td", "th"):
-            rows.append([layout(x, drawn)])
+            add([x])
         else:
             loose.append(x)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= WIDEST)])
+    widths: dict[int, int] = {}
+    for spanning in (False, True):  # what spans widens the last of its columns
+        for row in rows:
+            for column, across, cell in row:
+                if (across > 1) == spanning:
+                    own = max((len(x) for x in cell if len(x) <= WIDEST), default=0)
+                    others = sum(widths.get(c, 0) + 2 for c in range(column, column + across - 1))
+                    last = column + across - 1
+                    widths[last] = max(widths.get(last, 0), min(own - others, WIDEST))
+    places, at = [], 0
+    for column in range(max(widths, default=-1) + 1):
+        places.append(at)
+        at += widths.get(column, 0) + 2
     lines = captions
     if loose:  # what stands between the cells is painted before the table
         before = Node("div")
         before.children = loose
         lines = layout(before, drawn) + lines
     for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            lines.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+        for k in range(max((len(x[2]) for x in row), default=0)):
+            line = ""
+            for column, _, cell in row:
+                if k < len(cell) and cell[k]:
+                    line = (line.ljust(places[column] - 2) + "  " if column else line) + cell[k]
+            lines.append(line.rstrip())
     return lines
 
 
 def render(page: str | None) -> str:
-    """All visible text of a page. Null, empty and textless pages give the empty text; no input is an error."""
+    """All visible text of a page. Null, empty and textless pages give the empty text; no input is an error, however long or deep."""
     if not page:
         return ""
     root, tables = parse(page)
@@ -328,7 +440,9 @@ def render(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` with the visible text of each whole page in place of ``column``; other columns stay. Null pages give the empty text."""
+    """``pages`` with the visible text of each whole page in place of ``column``; other columns stay, but for one of the name ``out``.
+
+    Null pages give the empty text, as empty ones do; repeated rows each keep theirs; an empty table gives no rows."""
     kept = [f for f in pages.schema.fields if f.name not in (column, out)]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
