@@ -122,9 +122,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` for a function that yields dicts of columns (arrays or lists) instead of record batches."""
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = kind.names
     module = function.__module__
 
@@ -144,6 +144,14 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def widened(df: DataFrame, ddl: str) -> tuple[DataFrame, StructType]:
+    """``df`` without columns of the new ones' names (whatever their case), and its schema with the new ones."""
+    new = StructType.fromDDL(ddl)
+    taken = {x.lower() for x in new.names}
+    kept = df.select(*[F.col(f"`{x}`") for x in df.columns if x.lower() not in taken])
+    return kept, StructType([*kept.schema.fields, *new.fields])
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column as Python strings, null as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

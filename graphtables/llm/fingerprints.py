@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, only, shuffle_partitions, slices, texts_of
+from .common import arrow_map, mix64, only, shuffle_partitions, slices, texts_of, widened
 
 SHINGLE = 12
 #: One hash of so many is kept.
@@ -95,8 +95,10 @@ def merge(*each: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each whole text (null: empty). Equal texts have equal fingerprints; one map, no shuffle."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """``docs`` with the fingerprint of each whole text (null: empty). Equal texts have equal fingerprints; one map, no shuffle.
+
+    Repeated rows each keep theirs; an empty table stays empty; other columns stay, one of the name ``out`` is replaced."""
+    docs, schema = widened(docs, f"`{out}` string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
@@ -105,52 +107,91 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 yield columns | {out: [encode(s, x) for s, x in zip(sketches(texts), texts, strict=True)]}
 
-    return arrow_map(docs, run, f"{fields}, `{out}` string")
+    return arrow_map(docs, run, schema)
+
+
+#: Documents of one run of neighbours, and most cuts between ids; more documents make longer runs, which are streamed.
+RUN, MOST_CUTS = 512, 1 << 15
+#: A run of one id (or none) is cut by its texts' hashes from so many documents on.
+HEAVY = 4 * RUN
+#: Documents of one task, about.
+TASK = 1 << 14
+#: The seed of Spark's xxhash64.
+_SEED = 42
+
 
+def text_hash(text: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=_SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _runs(ids: pa.Array, edges: np.ndarray) -> np.ndarray:
+    """The run of each id; null: -1."""
+    known = ~np.asarray(ids.is_null())
+    return np.where(known, np.searchsorted(edges, np.asarray(ids.fill_null(0), dtype=np.int64), side="right"), -1).astype(np.int64)
 
-#: Documents of one run of neighbours, and most such runs; cuts stand in the plan, so their number is bounded.
-RUN, MOST_RUNS = 512, 4096
+
+def _part(hashed: int, parts: int) -> int:
+    """Which of ``parts`` equal ranges a 64-bit hash is in, the greatest hashes in the last."""
+    return ((hashed + (1 << 63)) * parts) >> 64
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(run, halo, doc_id, text): every row in a run of neighbouring ids, and as halo of the run before it, the rows with a run's largest id.
+    """(place, halo, doc_id, hash, text): every row in a run of neighbours, and as halo of the run before it, each run's first rows.
 
-    Runs follow one another by descending id (null ids: last); after the last comes the first. Ids are cut at quantiles, taken from
-    the id column alone; texts travel in one exchange."""
+    Documents follow one another by descending id (null ids: last), those of one id by descending hash of their texts, then by these;
+    after the last comes the first. Runs are cut at quantiles of the ids, those of a single id that many documents share (or of none) by
+    ranges of the hash; texts travel in one exchange, dealt evenly by the runs' places."""
     spark = docs.sparkSession
     ids = only(docs, "doc_id")
     n = ids.count()
-    runs = min(MOST_RUNS, max(1, n // RUN))
+    runs = min(MOST_CUTS, max(1, n // RUN))
     cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [(i + 1) / runs for i in range(runs - 1)], 20 * runs)).first()[0] or [])) if runs > 1 else []
     edges = np.array(cuts, np.int64)
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"run": _runs(batch.column("doc_id"), edges)[0], "doc_id": batch.column("doc_id")}
+            yield {"run": _runs(batch.column("doc_id"), edges), "doc_id": batch.column("doc_id")}
+
+    held = arrow_map(ids, number, "run long, doc_id long").groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).collect()
+    heavy = {x["run"]: -(-x["n"] // RUN) for x in held if x["least"] == x["top"] and x["n"] >= HEAVY}
+    # the first rows of each part: its greatest id, or of a run cut by hashes its greatest hash
+    first: dict[tuple[int, int], int | None] = {(x["run"], 0): x["top"] for x in held if x["run"] not in heavy}
 
-    tops = arrow_map(ids, number, "run long, doc_id long").groupBy("run").agg(F.max("doc_id").alias("top")).collect()
-    order = sorted(x["run"] for x in tops)
-    top = {x["run"]: x["top"] for x in tops}
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        most: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            run = _runs(batch.column("doc_id"), edges)
+            for r, h in zip(run.tolist(), batch.column("hash").to_pylist(), strict=True):
+                if r in heavy:
+                    key = r, _part(h, heavy[r])
+                    most[key] = max(most.get(key, h), h)
+        yield {"run": [r for r, _ in most], "part": [p for _, p in most], "hash": list(most.values())}
+
+    hashed = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    if heavy:
+        for x in arrow_map(hashed, hashes, "run long, part long, hash long").groupBy("run", "part").agg(F.max("hash").alias("hash")).collect():
+            first[x["run"], x["part"]] = x["hash"]
+    order = sorted(first, reverse=True)  # as documents follow one another
+    place = {key: i for i, key in enumerate(order)}
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        before = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}  # the run that stands before r, by descending ids
         for whole in batches:
             for batch in slices(whole, "text"):
-                run, known = _runs(batch.column("doc_id"), edges)
-                yield {"run": run, "halo": np.zeros(len(run), bool), "doc_id": batch.column("doc_id"), "text": batch.column("text")}
-                first = [i for i, (r, k, x) in enumerate(zip(run.tolist(), known.tolist(), batch.column("doc_id").to_pylist(), strict=True)) if (x if k else None) == top.get(r)]
-                if first:
-                    own = batch.take(pa.array(first))
-                    yield {"run": np.array([before[r] for r in run[first].tolist()], np.int64), "halo": np.ones(len(first), bool), "doc_id": own.column("doc_id"), "text": own.column("text")}
+                run, own = _runs(batch.column("doc_id"), edges).tolist(), batch.column("hash").to_pylist()
+                keys = [(r, _part(h, heavy[r]) if r in heavy else 0) for r, h in zip(run, own, strict=True)]
+                begins = [i for i, (k, h, x) in enumerate(zip(keys, own, batch.column("doc_id").to_pylist(), strict=True)) if first[k] == (h if k[0] in heavy else x)]
+                for which, halo in ((np.arange(len(keys)), False), (np.array(begins, np.int64), True)):
+                    if len(which):
+                        at = [(place[keys[i]] - halo) % len(order) for i in which]
+                        yield {"place": at, "halo": np.full(len(which), halo)} | {x: batch.column(x).take(pa.array(which)) for x in ("doc_id", "hash", "text")}
 
-    dealt = arrow_map(only(docs, "doc_id", "text"), deal, "run long, halo boolean, doc_id long, text string")
-    return dealt.repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run", "halo", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
-
-
-def _runs(ids: pa.Array, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The run of each id (null: -1) and which ids are known."""
-    known = ~np.asarray(ids.is_null())
-    return np.where(known, np.searchsorted(edges, np.asarray(ids.fill_null(0), dtype=np.int64), side="right"), -1).astype(np.int64), known
+    with_hash = only(docs, "doc_id", "text").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    dealt = arrow_map(with_hash, deal, "place long, halo boolean, doc_id long, hash long, text string")
+    tasks = max(shuffle_partitions(spark), -(-n // TASK))
+    even = dealt.repartitionById(tasks, (F.col("place") % tasks).cast("int"))
+    return even.sortWithinPartitions("place", "halo", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").asc_nulls_first())
 
 
 def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -162,7 +203,7 @@ def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             texts = texts_of(batch)
             own = sketches(texts)
             done = []
-            for run, halo, doc_id, text, sketch in zip(batch.column("run").to_pylist(), batch.column("halo").to_pylist(), batch.column("doc_id").to_pylist(), texts, own, strict=True):
+            for run, halo, doc_id, text, sketch in zip(batch.column("place").to_pylist(), batch.column("halo").to_pylist(), batch.column("doc_id").to_pylist(), texts, own, strict=True):
                 if halo and closed == run:
                     continue
                 if held is not None:
@@ -187,8 +228,9 @@ def _edited(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its fingerprint, that of its edited text (its last half from the next document), and how near they are.
 
-    The next document follows by descending id, rows of one id by text, null ids last; after the last comes the first (a lone row
-    follows itself). Null texts count as empty. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    The next document follows by descending id, null ids last, rows of one id by a hash of their texts; after the last comes the first (a
+    lone row follows itself). Null texts count as empty, repeated rows each keep their row, an empty table gives no rows, other columns are
+    ignored, whatever their names. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return arrow_map(neighbours(docs), _edited, schema)
