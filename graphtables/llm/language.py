@@ -1,6 +1,6 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training reads a bounded sample of labelled rows (``per_language`` each, the rows with the smallest hashes of their id and text);
+Training reads a bounded sample of labelled rows (about ``per_language`` each, those with small hashes of their id and text);
 the counts become one log-probability matrix of fixed size, broadcast to the executors, where numpy scores whole texts in batches:
 the n-grams of a batch are hashed at once, their rows of the matrix gathered and summed per text.
 
@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, only, slices, texts_of
+from .common import arrow_map, mix64, only, slices, texts_of, widened
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled rows of each language that training reads at most.
 PER_LANGUAGE = 2000
-#: n-grams that a text's evidence counts as at most, so that the score stays a confidence, however long the text.
+#: n-grams that a text's evidence counts as at most in its score, so that this stays a confidence, however long the text. The prediction
+#: itself comes from the plain sum over all n-grams and the prior.
 EVIDENCE = 40.0
 UNKNOWN = "und"
 #: Texts of each language, about, that the bounds of its evidence are fitted on; code points of each that are read.
@@ -99,7 +100,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: floa
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
     counted = arrow_map(rows.where(drawn).select("text", "lang").repartition(8), _counts, "lang string, rows long, counts binary").collect()
     langs = tuple(sorted({x["lang"] for x in counted}))
     counts = np.zeros((BUCKETS, len(langs)))
@@ -156,13 +157,13 @@ def _totals(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 def score_texts(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The best language's number and its posterior, of every text (all non-empty)."""
+    """The best language's number (ties: the first) and its posterior by EVIDENCE n-grams at most, of every text (all non-empty)."""
     total, n, _ = _totals(model, texts)
+    best = (total + model.prior).argmax(axis=1)
     total = total * np.minimum(1.0, EVIDENCE / n)[:, None] + model.prior
-    best = total.argmax(axis=1)
     total -= total.max(axis=1, keepdims=True)
     posterior = np.exp(total)
-    return best, posterior.max(axis=1) / posterior.sum(axis=1)
+    return best, posterior[np.arange(len(best)), best] / posterior.sum(axis=1)
 
 
 def fitting(model: LanguageModel, texts: list[str], best: np.ndarray) -> np.ndarray:
@@ -182,11 +183,12 @@ def fitting(model: LanguageModel, texts: list[str], best: np.ndarray) -> np.ndar
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """``docs`` with the predicted language of each whole text and its confidence (0 to 1).
 
-    Null texts and texts without a letter are ``und``, with score 0. Nothing but the text is looked at. ``fit`` names a further column:
-    whether the text is as likely in that language as its labelled texts are, so that it's of no unlearned language."""
-    session = docs.sparkSession
-    shared = session.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    Null texts and texts without a letter are ``und``, with score 0, as all are by a model that has learned nothing; of equally likely
+    languages the first by name is given. Nothing but the text is looked at. Repeated rows each keep theirs; an empty table stays empty;
+    other columns stay, those of the new names are replaced. ``fit`` names a further column: whether the text is as likely in that
+    language as its labelled texts are, so that it's of no unlearned language."""
+    docs, schema = widened(docs, f"`{out}` string, `{score}` double" + (f", `{fit}` boolean" if fit else ""))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         model = shared.value
@@ -206,4 +208,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 yield columns | {out: langs, score: scores} | ({fit: fits} if fit else {})
 
-    return arrow_map(docs, run, f"{fields}, `{out}` string, `{score}` double" + (f", `{fit}` boolean" if fit else ""))
+    return arrow_map(docs, run, schema)
