@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WORD, cut
+from .common import BROADCAST_IDS, WORD, counted, cut
 
 WEIGHTS = (1, 2, 3)
 #: Times a source's size that its target may be at most.
@@ -81,11 +81,16 @@ def mix(docs: DataFrame, size: Column | None = None, quality: Column | None = No
 
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, whole, each as often as it is taken. All columns stay. Rows that share an id (or have none)
-    are taken as often as the most taken of them."""
+    """The mix itself: the rows of ``docs``, whole, each as often as it is taken. All columns stay, whatever their names.
+
+    Rows that share an id (or have none) are taken as often as the most taken of them; rows without words are never taken; an empty table
+    stays empty."""
     chosen = mix(docs, boundary="whole", **options)
-    counts = cut(chosen.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_doc_id"))
-    if counts.count() <= BROADCAST_IDS:
+    names = {x.lower() for x in docs.columns}
+    copies, key, copy = (next(y for i in range(99) if (y := f"_{x}{i}").lower() not in names) for x in ("copies", "doc_id", "copy"))
+    counts = chosen.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    counts, n = counted(counts, "mixing")
+    if n <= BROADCAST_IDS:
         counts = F.broadcast(counts)
-    met = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    met = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(key))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return met.select(*[F.col(f"`{x}`") for x in docs.columns])

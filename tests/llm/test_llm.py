@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -146,7 +147,7 @@ def test_fingerprints(docs, none):
     got = defaultdict(list)
     for r in fp.edited_fingerprints(docs).collect():
         got[r.doc_id].append((r.n_chars, r.edited_sha256))
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text is not None, r.text or ""))
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -fp.text_hash(r.text or ""), r.text is not None, r.text or ""))
     want = defaultdict(list)
     for i, r in enumerate(rows):
         t, n = r.text or "", rows[(i + 1) % len(rows)].text or ""
@@ -156,14 +157,50 @@ def test_fingerprints(docs, none):
     assert fp.edited_fingerprints(none).count() == 0
 
 
-def test_neighbours_over_many_runs(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [4, 1000])
+def test_neighbours_over_many_runs(spark, monkeypatch, heavy):
+    """Also where an id, or none, is that of many documents."""
     monkeypatch.setattr(fp, "RUN", 3)
-    rows = [(i * 7 % 50, f"text {i} " * 9) for i in range(50)] + [(None, "last"), (49, "text again " * 5)]
-    got = {(r.doc_id, r.n_chars): r.edited_sha256 for r in fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    monkeypatch.setattr(fp, "HEAVY", heavy)
+    rows = [(i * 7 % 50, f"text {i} " * 9) for i in range(50)] + [(49, "text again " * 5)]
+    rows += [(x, f"{x} is {i} " * (i % 5 + 3) + "x" * i) for x in (None, 17) for i in range(30)] + [(None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or -1, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fp.edited_fingerprints(table).collect())
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -fp.text_hash(r[1] or "")))
+    want = []
     for i, (d, t) in enumerate(ordered):
+        t, follows = t or "", ordered[(i + 1) % len(ordered)][1] or ""
         k = len(t) // 2
-        assert got[d, len(t)] == hashlib.sha256((t[: len(t) - k] + ordered[(i + 1) % len(ordered)][1][:k]).encode()).hexdigest()
+        edited = t[: len(t) - k] + follows[:k]
+        want.append((d or -1, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_likeness(t, edited), plain_likeness(t, follows)))
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [y for x in got for y in x[3:]] == pytest.approx([y for x in want for y in x[3:]])
+
+
+def plain_likeness(a, b):
+    """Of the kept hashes of both texts' shingles, made one by one."""
+    def kept(t):
+        if len(t) < fp.SHINGLE:
+            return set()
+        out = set()
+        for i in range(len(t) - fp.SHINGLE + 1):
+            h = 0
+            for c in t[i : i + fp.SHINGLE]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % (1 << 64)
+            h ^= h >> 30
+            h = h * 0xBF58476D1CE4E5B9 % (1 << 64)
+            h ^= h >> 27
+            h = h * 0x94D049BB133111EB % (1 << 64)
+            h ^= h >> 31
+            if h >> 32 < (1 << 32) // fp.SCALE:
+                out.add(h >> 32)
+        return out
+
+    if a == b:
+        return 1.0
+    x, y = kept(a), kept(b)
+    return len(x & y) / max(1, len(x | y))
 
 
 def test_sketch_estimates():
@@ -353,11 +390,37 @@ def test_language(spark, docs, none):
 
 def test_language_scores_equal_the_sum_over_grams():
     r = np.random.default_rng(0)
-    model = language.LanguageModel(("a", "b"), r.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    texts = ["abc def", "x", "Straße " * 50]
-    alone = [language.score_texts(model, [t]) for t in texts]
+    model = language.LanguageModel(("a", "b"), r.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.array([0.2, -0.1]))
+    texts = ["abc def", "x", "Straße " * 50, "long " * 1000, "汉字 ½"]
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) % (1 << 64)
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 % (1 << 64)
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB % (1 << 64)
+        return (h ^ h >> 31) >> (64 - language.BUCKETS.bit_length() + 1)
+
     best, sure = language.score_texts(model, texts)
-    assert best.tolist() == [int(x[0][0]) for x in alone] and np.allclose(sure, [x[1][0] for x in alone])
+    for t, b, s in zip(texts, best, sure, strict=True):
+        t = f" {t.lower()} "
+        grams = [bucket(t[i : i + n]) for n in language.ORDERS for i in range(len(t) - n + 1)]
+        total = np.sum(model.weights[grams].astype(float), axis=0)
+        assert b == np.argmax(total + model.prior)  # naive Bayes, however long the text
+        scaled = np.exp(total * min(1, language.EVIDENCE / len(grams)) + model.prior)
+        assert s == pytest.approx(scaled[b] / scaled.sum(), rel=1e-4)
+
+
+def test_operators_replace_columns_of_their_names(docs):
+    """Columns that clash with an output's name are replaced, in whatever case; others stay."""
+    clash = docs.withColumns({"Lang_Pred": F.lit(1), "score": F.lit("x"), "FINGERPRINT": F.lit(2), "_copies0": F.lit(1), "_doc_id0": F.lit(1), "_gone_id": F.lit(1), "more": F.create_map(F.lit(1), F.lit(2))})
+    n = docs.count()
+    for out, new in ((language.identify(clash, language.train(docs)), {"lang_pred", "score"}), (fp.fingerprints(clash), {"fingerprint"})):
+        assert out.count() == n and len({x.lower() for x in out.columns}) == len(out.columns) and new <= set(out.columns) and "block" in out.columns
+    assert mixing.materialise(clash).columns == clash.columns and mixing.materialise(clash).count() > 0
+    assert near_duplicates.without_near_duplicates(clash).columns == clash.columns
 
 
 def test_urls(spark):
@@ -446,6 +509,99 @@ PAINTED = {
 }
 
 
+VISIBLE = {
+    "a<br><br>b": "a\n\nb", "a<br><br><br>b<br></p>c": "a\n\n\nb\n\nc", "<p style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</p>": "yes",
+    "<style>.x, p.y{display:none} #z {visibility:hidden} .x.on{display:block}</style><p class='x'>no</p><p class='b y'>no</p><p id=z>no</p><p class='x on'>yes</p><p class=y2>yes": "yes\n\nyes",
+    "<style>.x{display:none}</style><p class=x style='display:block'>yes</p><p hidden style='display:inline'>yes": "yes\n\nyes", "<style>@media print{.x{display:none}} .q .x{display:none}</style><p class=x>yes": "yes",
+    "<style>/* .x{display:none} */ .y{display:none !important}</style><p class=x>yes</p><p class=y style='display:block'>no": "yes",
+    "<table><tr><td colspan=2>ab<td>c<tr><td>d<td>ef<td>g</table>": "ab     c\nd  ef  g", "<table><tr><td rowspan=2>a<td>bb<tr><td>c<tr><td>d<td>e</table>": "a  bb\n   c\nd  e",
+    "<table style='visibility:hidden'>no<tr><td>no<td style='visibility:visible'>yes</table>": "yes", "<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>": "- yes",
+    "<div style='display:none;display:block'>yes</div><div title='hidden'>yes</div><div style='--x:hidden'>yes": "yes\nyes\nyes", "<p title=x hidden>no": "",
+    "<table><tr><td colspan=3>a long title<td>z<tr><td>1<td>2<td>3<td>4</table>": "a long title  z\n1  2  3       4",
+}
+
+
+def test_html_visibility_and_spans():
+    for page, text in VISIBLE.items():
+        assert html_text.render(page).strip("\n ") == text, page
+
+
+class PlainText(HTMLParser):
+    """Another renderer, of words alone: what is in no hidden element, in order."""
+
+    hides = {"head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "datalist", "title"}  # noqa: RUF012
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.VOID:
+            if tag in ("br", "hr"):
+                self.words.append(" ")
+            return
+        held = dict(attrs)
+        style = (held.get("style") or "").replace(" ", "").lower()
+        self.open.append((tag, "hidden" in held or "display:none" in style or "visibility:hidden" in style or tag in self.hides))
+        if tag in html_text.BLOCK or tag in html_text.APART:
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+        if tag in html_text.BLOCK or tag in html_text.APART:
+            self.words.append(" ")
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words.append(data)
+
+
+def plain_words(page: str) -> list[str]:
+    parser = PlainText()
+    parser.feed(page)
+    parser.close()
+    return "".join(parser.words).split()
+
+
+def test_html_against_another_renderer():
+    """On random well-formed pages all visible words come, in order; only marks of lists are added."""
+    r = random.Random(7)
+
+    def part(depth: int) -> str:
+        kind = r.choice(["text"] * 4 + ["p", "div", "b", "ul", "ol", "table", "pre", "hidden", "style", "script", "br", "h2", "blockquote", "dl"])
+        inner = lambda: "".join(part(depth - 1) for _ in range(r.randint(1, 4)))
+        if kind == "text" or depth <= 0:
+            return f" {''.join(r.choice('abcdé&') if r.random() < 0.95 else '&lt;' for _ in range(r.randint(1, 8))).replace('&', '&amp;') if r.random() < 0.9 else '&#8364; &nbsp;x'}\n"
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{inner()}</li>" for _ in range(r.randint(1, 3))) + f"</{kind}>"
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{r.choice('xyz') * r.randint(1, 5)}</td>" for _ in range(r.randint(1, 4))) + "</tr>" for _ in range(3)) + "</table>"
+        if kind == "hidden":
+            return f"<div {r.choice(['hidden', 'style=display:none', 'class=a style="color:red; display : none"'])}>{inner()}</div>"
+        if kind in ("style", "script"):
+            return f"<{kind}>a < b &amp; c</{kind}>"
+        if kind == "br":
+            return "<br>"
+        if kind == "p":
+            return f"<p>{part(0)}<b>{part(0)}</b></p>"
+        if kind == "dl":
+            return f"<dl><dt>{part(0)}</dt><dd>{inner()}</dd></dl>"
+        return f"<{kind}>{inner()}</{kind}>"
+
+    for _ in range(400):
+        page = "<html><head><title>t</title></head><body>" + "".join(part(4) for _ in range(5)) + "</body></html>"
+        mark = re.compile(r"(-|[0-9]+\.)")
+        assert [w for w in html_text.render(page).split() if not mark.fullmatch(w)] == plain_words(page), page
+
+
+def test_html_long_page(spark):
+    page = "<p>" + " ".join(f"w{i}" for i in range(200_000)) + "<table>" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    got = html_text.extract(spark.createDataFrame([(1, page), (1, page)], "page_id long, html string")).collect()
+    assert len(got) == 2 and all(len(x.text.split()) == 240_000 for x in got)
+
+
 def test_html_painted():
     for page, text in PAINTED.items():
         assert html_text.render(page) == text, page
