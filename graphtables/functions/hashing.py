@@ -55,7 +55,7 @@ def _times(x: Column, factor: int, bits: int) -> Column:
 
 
 # Shifts and factors of the two mixers.
-_MIX = {32: ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)), 64: ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None))}
+MIX = {32: ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)), 64: ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None))}
 
 
 def _xor_shift(by: int):
@@ -70,7 +70,7 @@ def integer_mix(x: Column | str, bits: int = 64, rounds: int = 2) -> Column:
     """The integer hash of x + 1: in each round shift-xor, multiply, shift-xor, multiply, shift-xor, wrapping at ``bits`` (32 or 64)."""
     h = _wrap(_col(x).cast("long") + 1, bits)
     for _ in range(rounds):
-        for shift, factor in _MIX[bits]:
+        for shift, factor in MIX[bits]:
             h = _let(h, _xor_shift(shift))
             h = h if factor is None else _let(h, _multiply(factor, bits))
     return h.cast("int") if bits == 32 else h

@@ -42,3 +42,24 @@ def project(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     if absent:
         raise KeyError(f"columns not found: {sorted(absent)}")
     return impute(df.select(*[F.col(c).cast(t).alias(c) for c, t in spec.items()]))
+
+
+def add_attribute(df: DataFrame, attribute: DataFrame, key: str, name: str, default=None) -> DataFrame:
+    """``df`` with an attribute of another table (key, name) as a new column; rows without one get the default. A column of that name is an error."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
+    value = attribute.select(F.col(key).alias("_key"), F.col(name).alias("_value"))
+    out = df.join(value, F.col(key) == F.col("_key"), "left").drop("_key")
+    filled = F.col("_value") if default is None else F.coalesce("_value", F.lit(default))
+    return out.withColumn(name, filled).drop("_value")
+
+
+def concat_attributes(features: str, *more: str) -> Column:
+    """The feature array with further arrays or numbers behind it, in order, as array<float>; null parts count as nothing, null numbers as 0."""
+    none = F.array().cast("array<float>")
+    return F.concat(F.coalesce(F.col(features).cast("array<float>"), none), *[F.coalesce(F.col(c).cast("array<float>"), none) for c in more])
+
+
+def constant_feature(df: DataFrame, name: str = "features", value: float = 1.0, width: int = 1) -> DataFrame:
+    """``df`` with the same features in every row, for nodes that have none."""
+    return df.withColumn(name, F.array_repeat(F.lit(value).cast("float"), width))

@@ -31,9 +31,9 @@ SIMILARITIES = {"dot": dot, "cosine": cosine, "euclidean": negative_squared_dist
 
 
 def l2_normalize(a: Column | str) -> Column:
-    """The vector over its length; zero vectors stay."""
+    """The vector over its length, which is worked out once; zero vectors stay."""
     a = _col(a)
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(1e-12)))
+    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(1e-12))), lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
 
 
 def translate(a: Column | str, r: Column | str) -> Column:
@@ -74,11 +74,17 @@ def _as_array(c: Column | str) -> Column:
 
 
 def codes(features: Column | str, bits: int, low: Column | float, high: Column | float) -> Column:
-    """Quantized codes: one bit is x > 0; else the clipped value scaled to 2^bits - 1, rounded half to even."""
+    """Quantized codes of 1, 2, 4 or 8 bits: one bit is x > 0; else the clipped value scaled to 2^bits - 1, rounded half to even. A value
+    that isn't finite fails the query that reads it."""
+    if bits not in (1, 2, 4, 8):
+        raise ValueError(f"codes have 1, 2, 4 or 8 bits, not {bits}")
+    finite = lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    features = _col(features)
+    features = F.when(F.forall(features, lambda x: x.isNull() | finite(x)), features).otherwise(F.raise_error(F.lit("features to quantize are not finite")))
     if bits == 1:
-        return F.transform(_col(features), lambda x: (x > 0).cast("int"))
+        return F.transform(features, lambda x: (x > 0).cast("int"))
     lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low, high))
-    return F.transform(_col(features), lambda x: F.rint((F.least(F.greatest(x.cast("double"), lo), hi) - lo) / (hi - lo) * float((1 << bits) - 1)).cast("int"))
+    return F.transform(features, lambda x: F.rint((F.least(F.greatest(x.cast("double"), lo), hi) - lo) / (hi - lo) * float((1 << bits) - 1)).cast("int"))
 
 
 def pack(code: Column | str, bits: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import feature_array
+from ..plans.scratch import materialize
 
 
 def load_nodes(df: DataFrame, key: str, features: list[str], node_type: int = 0) -> DataFrame:
@@ -18,6 +19,25 @@ def load_edges(df: DataFrame, src: str, dst: str, features: list[str] | None = N
     return df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.lit(edge_type).alias("edge_type"), feature_array(*(features or [])).alias("features"))
 
 
+def load_typed_edges(parts: dict[tuple[tuple[str, str, str], str], DataFrame], usage: str = "main", codes: dict[tuple[str, str, str], int] | None = None) -> DataFrame:
+    """(src, dst, src_type, relation, dst_type, edge_type, features): edge tables (src, dst, features...) of one usage as one table.
+
+    ``parts``: tables by (edge type, usage); usages are main, positive and negative. ``codes`` numbers the edge types, else their order does."""
+    kinds = list(dict.fromkeys(t for t, _ in parts))
+    codes = codes or {t: i for i, t in enumerate(kinds)}
+    if unknown := {u for _, u in parts} - {"main", "positive", "negative"}:
+        raise ValueError(f"unknown usages {sorted(unknown)}")
+    own = []
+    for (kind, of), df in parts.items():
+        if of == usage:
+            more = [c for c in df.columns if c not in ("src", "dst")]
+            rows = load_edges(df, "src", "dst", more, codes[kind])
+            own.append(rows.withColumns(dict(zip(("src_type", "relation", "dst_type"), map(F.lit, kind), strict=True))))
+    if not own:
+        raise ValueError(f"no edges for {usage}")
+    return union_types(*own).select("src", "dst", "src_type", "relation", "dst_type", "edge_type", "features")
+
+
 def load_labels(df: DataFrame, key: str, label: str, label_type: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("node_id"), F.col(label).cast("int").alias("label"), F.lit(label_type).alias("label_type"))
 
@@ -124,10 +144,12 @@ def without_relations(edges: DataFrame, *suffixes: str) -> DataFrame:
 
 
 def slotted_join(left: DataFrame, right: DataFrame, on: str, slots: int, how: str = "inner") -> DataFrame:
-    """The join as ``slots`` smaller ones by the key's hash slot, each its own unit of shuffle; the same rows as one join."""
-    at = F.pmod(F.xxhash64(on), F.lit(slots))
-    parts = [left.where(at == i).join(right.where(at == i), on, how) for i in range(slots)]
-    return union_types(*parts)
+    """The join as ``slots`` smaller ones by the key's hash slot, each its own unit of shuffle; the same rows as one join.
+
+    Both sides are kept in folders by slot, so each is read from its source once, and each smaller join reads its folders alone."""
+    at = F.pmod(F.xxhash64(on), F.lit(slots)).cast("int")
+    a, b = (materialize(x.withColumn("_slot", at).repartition("_slot"), "slots", by="_slot") for x in (left, right))
+    return union_types(*[a.where(F.col("_slot") == i).drop("_slot").join(b.where(F.col("_slot") == i).drop("_slot"), on, how) for i in range(slots)])
 
 
 def merge_graphs(graphs: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 
 
-def enumerate_ids(df: DataFrame, column: str, out: str = "int_id") -> DataFrame:
-    """(column, out): the distinct identifiers in order, numbered densely from 0.
+def number_rows(df: DataFrame, *order: str, out: str = "number") -> DataFrame:
+    """``df`` with its rows numbered densely from 0 in the order of some columns.
 
-    No global window: ids are range-partitioned and sorted, numbered within each partition, and shifted by the counts of the
+    No global window: rows are range-partitioned and sorted, numbered within each partition, and shifted by the counts of the
     partitions before it; only those counts, one per partition, pass through one task."""
-    ids = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranged = ids.repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id())
-    placed = ranged.select(column, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    placed = materialize(placed, "enumerated")  # counts and numbers must see the same ranges
+    at = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    placed = ranged.select(*df.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = materialize(placed, "numbered")  # counts and numbers must see the same ranges
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(F.broadcast(offsets), "_part").select(column, (F.col("_offset") + F.col("_place")).alias(out))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_offset") + F.col("_place")).alias(out))
+
+
+def enumerate_ids(df: DataFrame, column: str, out: str = "int_id") -> DataFrame:
+    """(column, out): the distinct identifiers in order, numbered densely from 0."""
+    return number_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), column, out=out)
 
 
 def enumerate_nodes(nodes: DataFrame, column: str, ids: DataFrame, out: str = "int_id") -> DataFrame:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import rank_key
 from ..plans.scratch import materialize
-from .sampling import uniform_rows, union_of
+from .sampling import k_hop_frontier, uniform_rows, union_of
 
 ALPHA, EPSILON, MOST_NEIGHBORS, MOST_ROUNDS = 0.5, 1e-4, 1000, 200
 
 
-def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, most_neighbors: int = MOST_NEIGHBORS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, most_neighbors: int = MOST_NEIGHBORS, most_rounds: int = MOST_ROUNDS, unfinished: str = "raise") -> DataFrame:
     """(seed, node_id, score, residual, hop): approximate personalized PageRank of each seed along outgoing edges.
 
     A seed begins with the residual alpha. A node whose residual reaches alpha * epsilon * degree is pushed: the residual is added to its
     score and (1 - alpha) of it spread evenly over its neighbors (at most ``most_neighbors``, by hash). ``hop`` is the least number of steps at which a node was met. All pushable nodes of a round are pushed
-    together; a round is one join and one aggregate, its result kept as a table, so plans don't grow."""
+    together; a round is one join and one aggregate, its result kept as a table, so plans don't grow. If ``most_rounds`` are not enough,
+    that is an error, or with ``unfinished`` as ``return`` the state after them."""
     out = edges.select("src", "dst").distinct()
     degree = out.groupBy("src").agg(F.count("*").alias("degree"))
     kept = uniform_rows(out, ["src"], "dst", most_neighbors, "ppr")
@@ -34,6 +36,8 @@ def forward_push(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsil
         # what a node without neighbors can't pass on stays in its score
         own = state.select("seed", "node_id", F.when(F.col("push"), F.col("score") + F.col("residual")).otherwise(F.col("score")).alias("score"), F.when(F.col("push"), F.lit(0.0)).otherwise(F.col("residual")).alias("residual"), "hop")
         state = own.unionByName(spread).groupBy("seed", "node_id").agg(F.sum("score").alias("score"), F.sum("residual").alias("residual"), F.min("hop").alias("hop"))
+    if unfinished != "return" and state.join(degrees, "node_id", "left").where((F.col("residual") > 0) & (F.col("residual") >= alpha * epsilon * F.coalesce("degree", F.lit(0)))).limit(1).count():
+        raise RuntimeError(f"forward push isn't done after {most_rounds} rounds")
     return state
 
 
@@ -73,6 +77,14 @@ def sequences(selected: DataFrame, length: int, pad: int = -1) -> DataFrame:
     return rows.select("seed", F.concat("t", F.array_repeat(F.lit(pad).cast("long"), length - F.size("t"))).alias("tokens"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: i <= F.size("t")).alias("valid"))
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, hops: int, most: int, most_neighbors: int = MOST_NEIGHBORS) -> DataFrame:
+    """(seed, node_id, rank, hop): nodes that are reached from each seed in so many hops along outgoing edges, nearest first, those of one
+    hop by hash, ``most`` of them beside the seed; as input of ``sequences``. At most ``most_neighbors`` of a node, by hash, are followed."""
+    found = k_hop_frontier(edges, seeds, [most_neighbors] * hops, "out", salt="reach").withColumnRenamed("root", "seed")
+    w = Window.partitionBy("seed").orderBy("hop", rank_key("reach", "seed", "node_id"), "node_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 1).select("seed", "node_id", "rank", "hop")
+
+
 def token_relations(tokens: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
     """(seed, i, j, value): a value of node pairs (such as hop distances) for the token pairs of each sequence; absent pairs are left out."""
     each = tokens.select("seed", F.posexplode("tokens").alias("i", "node"))

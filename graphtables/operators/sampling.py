@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import rank_key, uniform
+from ..functions.hashing import rank_key, slot, uniform
+from ..plans.scratch import materialize
+from .enumeration import number_rows
 
 
 def _ranked(rows: DataFrame, by: list[str], n: int, order: list[Column]) -> DataFrame:
@@ -18,7 +20,8 @@ def _ranked(rows: DataFrame, by: list[str], n: int, order: list[Column]) -> Data
 
 
 def uniform_rows(rows: DataFrame, by: list[str], other: str, n: int, salt: str) -> DataFrame:
-    """At most n rows of each group, at random by hash; one row for each (group, other)."""
+    """At most n rows of each group, at random by hash; one row for each (group, other). ``rank_key`` is md5, which any engine can
+    recompute."""
     return _ranked(rows.dropDuplicates([*by, other]), by, n, [rank_key(salt, *by, other), F.col(other)])
 
 
@@ -64,38 +67,121 @@ def one_hop(edges: DataFrame, n: int, salt: str = "hop1") -> DataFrame:
     return uniform_rows(rows, ["root"], "hop1", n, salt)
 
 
-def next_hop(paths: DataFrame, edges: DataFrame, n: int, k: int, salt: str | None = None) -> DataFrame:
+def numbered_neighbors(edges: DataFrame, here: str = "dst", there: str = "src", types: tuple[str, ...] = (), salt: str = "hop1") -> DataFrame:
+    """(node_id, *types, place, next, degree): each node's distinct neighbors in the order of their hashes, numbered from 0.
+
+    Hashed and sorted once, whatever the number of paths that draw from them."""
+    rows = edges.select(F.col(here).alias("node_id"), F.col(there).alias("next"), *types).distinct()
+    by = Window.partitionBy("node_id", *types)
+    return rows.withColumns({"place": F.row_number().over(by.orderBy(rank_key(salt, "node_id", *types, "next"), "next")) - 1, "degree": F.count("*").over(by)})
+
+
+def drawn_places(n: Column | int, degree: Column | str, salt: str, *by: Column | str) -> Column:
+    """The places of n draws without replacement among ``degree``: a start by hash, then equal steps; all places if they are no more than n."""
+    d = F.col(degree) if isinstance(degree, str) else degree
+    n = F.lit(n) if isinstance(n, int) else n
+    m = F.when(n < 0, d).otherwise(F.least(n, d))
+    start = slot(salt, *by, slots=1 << 32) % d
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), m.cast("long") - 1), lambda i: (start + F.floor(i * d / m)) % d)
+    return F.when(m > 0, steps).otherwise(F.array().cast("array<bigint>"))
+
+
+def draw(paths: DataFrame, node: str, numbered: DataFrame, n: int, salt: str, by: list[str], types: tuple[str, ...] = ()) -> DataFrame:
+    """``paths`` with a row for each neighbor (next) that is drawn for their ``node``: at most n, for each of ``types`` if there are any.
+
+    A path draws places among its node's neighbors and meets just these: n rows a path, also where the node is a hub, whose neighbors lie
+    apart by their places."""
+    degrees = numbered.where("place = 0").select(F.col("node_id").alias(node), *types, "degree")
+    at = paths.join(degrees, node).withColumn("place", F.explode(drawn_places(n, "degree", salt, *by, *types))).drop("degree")
+    return at.join(numbered.select(F.col("node_id").alias(node), *types, "place", "next"), [node, *types, "place"]).drop("place")
+
+
+def next_hop(paths: DataFrame, numbered: DataFrame, n: int, k: int, salt: str | None = None) -> DataFrame:
     """Paths (root, hop1, ..., hop k-1) with at most n in-neighbors of their last node each, drawn anew for each path."""
-    last, new = f"hop{k - 1}", f"hop{k}"
-    met = paths.join(edges.select(F.col("dst").alias(last), F.col("src").alias(new)), last)
     by = ["root", *[f"hop{i}" for i in range(1, k)]]
-    return uniform_rows(met, by, new, n, salt or f"hop{k}").select(*by, new)
+    return draw(paths, f"hop{k - 1}", numbered, n, salt or f"hop{k}", by).select(*by, F.col("next").alias(f"hop{k}"))
 
 
 def k_hop(edges: DataFrame, fanouts: list[int]) -> list[DataFrame]:
-    """Sampled paths of each length, one DataFrame per hop. Hops are drawn from ids alone; features are joined afterwards."""
-    hops = [one_hop(edges, fanouts[0])]
+    """Sampled paths of each length, one DataFrame per hop, each a table. Hops are drawn from ids alone; features are joined afterwards."""
+    if len(fanouts) == 1:
+        return [one_hop(edges, fanouts[0])]
+    numbered = materialize(numbered_neighbors(edges), "neighbors")
+    hops = [materialize(numbered.where(F.col("place") < fanouts[0]).select(F.col("node_id").alias("root"), F.col("next").alias("hop1")), "hop1")]
     for k, n in enumerate(fanouts[1:], 2):
-        hops.append(next_hop(hops[-1], edges, n, k))
+        hops.append(materialize(next_hop(hops[-1], numbered, n, k), f"hop{k}"))
     return hops
 
 
+#: Relations with these ends are labels, along which nothing is sampled.
+LABEL_RELATIONS = ("positive_label", "negative_label")
+
+
+def typed_frontier(edges: DataFrame, seeds: DataFrame, fanouts: dict[tuple[str, str, str], list[int]], direction: str = "in", salt: str = "typed") -> DataFrame:
+    """(root, root_type, node_id, node_type, hop): nodes met by expanding only newly found ones, with a fanout for each edge type and hop.
+
+    ``edges``: (src, dst, src_type, relation, dst_type); ids may repeat between types. An edge type without fanouts isn't followed, nor are
+    label relations; a fanout of 0 leaves a type out of a hop, -1 takes all. ``seeds``: (node_id, node_type)."""
+    if len({len(x) for x in fanouts.values()}) != 1:
+        raise ValueError("all edge types need the same number of hops")
+    if any(relation.endswith(LABEL_RELATIONS) for _, relation, _ in fanouts):
+        raise ValueError("label relations are not sampled")
+    here, there = ("dst", "src") if direction == "in" else ("src", "dst")
+    kind = F.concat_ws("|", "src_type", "relation", "dst_type")
+    own = edges.select(here, there, kind.alias("kind"), F.col(f"{here}_type").alias("node_type"), F.col(f"{there}_type").alias("next_type"))
+    own = own.where(F.col("kind").isin([  # types that no hop follows are not numbered
+        "|".join(t) for t, x in fanouts.items() if any(x)]))
+    numbered = materialize(numbered_neighbors(own, here, there, ("node_type", "next_type", "kind"), salt), "typed_neighbors")
+    degrees = numbered.where("place = 0").select("node_id", "node_type", "kind", "degree")
+    found = seeds.select(F.col("node_id").alias("root"), F.col("node_type").alias("root_type"), "node_id", "node_type", F.lit(0).alias("hop")).distinct()
+    frontier, key = found, ["root", "root_type", "node_id", "node_type"]
+    for k in range(1, len(next(iter(fanouts.values()))) + 1):
+        fan = {"|".join(t): x[k - 1] for t, x in fanouts.items() if x[k - 1]}
+        if not fan:
+            break
+        n = F.element_at(F.create_map(*[F.lit(x) for item in fan.items() for x in item]), F.col("kind"))
+        at = frontier.select(*key).join(degrees.where(F.col("kind").isin(list(fan))), ["node_id", "node_type"])
+        at = at.select(*key, "kind", F.explode(drawn_places(n, "degree", f"{salt}{k}", "root", "root_type", "node_id", "node_type", "kind")).alias("place"))
+        met = at.join(numbered, ["node_id", "node_type", "kind", "place"]).select("root", "root_type", F.col("next").alias("node_id"), F.col("next_type").alias("node_type"))
+        frontier = materialize(met.distinct().join(found.select(*key), key, "left_anti").withColumn("hop", F.lit(k)), f"typed_hop{k}")
+        found = found.unionByName(frontier)
+    return found
+
+
+def anchor_and_label_seeds(anchors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(root, node_id, place, is_anchor): for each anchor the seeds of its sample in a stable order, itself first, then its label ends by id.
+
+    ``labels``: (src, dst); repeated label ends and the anchor among them come once."""
+    ends = labels.select(F.col("src").alias("root"), F.col("dst").alias("node_id")).where("root <> node_id").distinct()
+    ends = ends.join(anchors.select(F.col("node_id").alias("root")).distinct(), "root", "left_semi")
+    both = anchors.select(F.col("node_id").alias("root"), "node_id", F.lit(True).alias("is_anchor")).distinct().unionByName(ends.withColumn("is_anchor", F.lit(False)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("is_anchor"), "node_id")) - 1)
+
+
+def remap_labels(labels: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(root, label, place): label ends (src, dst) as places of the sampled nodes (root, node_id, place); one that was not sampled fails the
+    query that reads them."""
+    own = labels.select(F.col("src").alias("root"), F.col("dst").alias("label"))
+    met = own.join(sampled.select("root", F.col("node_id").alias("label"), "place"), ["root", "label"], "left")
+    missing = F.raise_error(F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" of anchor "), F.col("root").cast("string"), F.lit(" was not sampled"))).cast("int")
+    return met.withColumn("place", F.when(F.col("place").isNull(), missing).otherwise(F.col("place")))
+
+
 def k_hop_frontier(edges: DataFrame, seeds: DataFrame, fanouts: list[int], direction: str = "in", by_type: bool = False, salt: str = "frontier") -> DataFrame:
     """(root, node_id, hop): nodes met by expanding only newly found ones, per edge type if ``by_type``; a fanout of 0 ends a hop, -1 takes all.
 
-    Each hop is one join of the frontier with the edges, a top-n per (root, node), and an anti-join with what was found."""
+    Neighbors are numbered once; each hop draws places among them, and is anti-joined with what was found."""
     here, there = ("dst", "src") if direction == "in" else ("src", "dst")
     found = seeds.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("hop"))
     frontier = found
-    types = ["edge_type"] if by_type else []
-    e = edges.select(F.col(here).alias("node_id"), F.col(there).alias("next"), *types)
+    types = ("edge_type",) if by_type else ()
+    numbered = materialize(numbered_neighbors(edges, here, there, types, salt), "neighbors")
     for k, n in enumerate(fanouts, 1):
         if n == 0:
             break
-        met = frontier.select("root", "node_id").join(e, "node_id")
-        drawn = met if n < 0 else uniform_rows(met, ["root", "node_id", *types], "next", n, f"{salt}{k}")
+        drawn = draw(frontier.select("root", "node_id"), "node_id", numbered, n, f"{salt}{k}", ["root", "node_id"], types)
         new = drawn.select("root", F.col("next").alias("node_id")).distinct().join(found.select("root", "node_id"), ["root", "node_id"], "left_anti")
-        frontier = new.withColumn("hop", F.lit(k))
+        frontier = materialize(new.withColumn("hop", F.lit(k)), f"frontier{k}")
         found = found.unionByName(frontier)
     return found
 
@@ -155,7 +241,8 @@ def run_plan(roots: DataFrame, edges: DataFrame, ops: list[SamplingOp], root_typ
             start = union_of([results[i] for i in op.inputs]).distinct()
         met = start.join(own.withColumnsRenamed({here: "node_id", there: "next"}), "node_id")
         if op.method == "uniform":
-            kept = uniform_rows(met, ["root", "node_id"], "next", op.n, op.name)
+            numbered = materialize(numbered_neighbors(own, here, there, salt=op.name), op.name)
+            kept = draw(start, "node_id", numbered, op.n, f"{op.name}start", ["root", "node_id"]).withColumn("relation", F.lit(op.edge_type[1]))
         elif op.method == "weighted":
             kept = weighted_rows(met, ["root", "node_id"], "next", op.value, op.n, op.name)
         elif op.method == "top_k":
@@ -189,16 +276,18 @@ def metapath_sample(roots: DataFrame, edges: DataFrame, path: list[str], n: int)
     out = roots.select(F.col("node_id").alias("root"))
     for k, relation in enumerate(path, 1):
         last = "root" if k == 1 else f"hop{k - 1}"
-        e = edges.where(F.col("relation") == relation).select(F.col("dst").alias(last), F.col("src").alias(f"hop{k}"))
         by = ["root", *[f"hop{i}" for i in range(1, k)]]
-        out = uniform_rows(out.join(e, last), by, f"hop{k}", n, f"{relation}{k}").select(*by, f"hop{k}")
+        numbered = materialize(numbered_neighbors(edges.where(F.col("relation") == relation), salt=relation), "metapath")
+        out = draw(out, last, numbered, n, f"{relation}{k}", by).select(*by, F.col("next").alias(f"hop{k}"))
     return out
 
 
 def self_supervised_positives(edges: DataFrame, fraction: float, salt: str = "positive") -> DataFrame:
-    """That fraction of the edges, the first by hash."""
-    n = edges.count()
-    return edges.orderBy(rank_key(salt, "src", "dst"), "src", "dst").limit(int(n * fraction))
+    """That fraction of the edges, the first by hash: ordered in ranges and numbered by their counts, so no task holds them all."""
+    keyed = edges.withColumn("_key", rank_key(salt, "src", "dst"))
+    numbered = number_rows(keyed, "_key", "src", "dst", out="_number")
+    few = F.broadcast(numbered.agg(F.floor(F.count("*") * fraction).alias("_few")))  # one row
+    return numbered.join(few).where("_number < _few").select(*edges.columns)
 
 
 def negatives_uniform(relations: DataFrame, sizes: DataFrame, k: int, salt: str = "negative") -> DataFrame:
@@ -215,12 +304,25 @@ def _pick(salt: str, size: str) -> Column:
 
 def negatives_in_batch(batch: DataFrame, k: int, corrupt: str = "dst", pool: DataFrame | None = None, salt: str = "contrast") -> DataFrame:
     """(id, src, dst): for each positive (id, batch, relation, src, dst) k corrupted pairs, ends taken from other rows of its batch and
-    relation, or of ``pool`` (id, batch, relation, node_id). ``corrupt``: src, dst, or both (by the parity of a hash)."""
-    other = pool if pool is not None else batch.select("id", "batch", "relation", F.col("src" if corrupt == "src" else "dst").alias("node_id"))
-    met = batch.join(other.select(F.col("id").alias("other"), "batch", "relation", "node_id"), ["batch", "relation"])
+    relation, or of ``pool`` (id, batch, relation, node_id). ``corrupt``: src, dst, or both (by the parity of a hash).
+
+    Rows are numbered within their batch and relation, by hash; a positive draws k places and meets just these: k rows each, not all pairs."""
+    group = ["batch", "relation"]
+    own = Window.partitionBy(*group)
+    place = lambda df: df.withColumns({"place": F.row_number().over(own.orderBy(rank_key(salt, "id"), "id")) - 1, "size": F.count("*").over(own)})
     if pool is None:
-        met = met.where("id <> other")
-    kept = _ranked(met, ["id"], k, [rank_key(salt, "id", "other"), F.col("other")])
+        numbered = materialize(place(batch), "batch")
+        rows = numbered.withColumn("others", F.col("size") - 1)
+        # places behind its own, round the batch: never itself
+        drawn = F.transform(drawn_places(k, "others", f"{salt}start", "id"), lambda p: (F.col("place") + 1 + p) % F.col("size"))
+        rows = rows.where("others > 0").withColumn("drawn", drawn).drop("place", "size", "others")
+        other = numbered.select(*group, F.col("place").alias("at"), F.col("id").alias("other"), F.col("src" if corrupt == "src" else "dst").alias("node_id"))
+    else:
+        numbered = materialize(place(pool), "pool")
+        sizes = numbered.where("place = 0").select(*group, "size")
+        rows = batch.join(sizes, group).withColumn("drawn", drawn_places(k, "size", f"{salt}start", "id")).drop("size")
+        other = numbered.select(*group, F.col("place").alias("at"), F.col("id").alias("other"), "node_id")
+    kept = rows.withColumn("at", F.explode("drawn")).drop("drawn").join(other, [*group, "at"])
     head = F.lit(corrupt == "src") if corrupt != "both" else F.conv(F.substring(rank_key(f"{salt}side", "id", "other"), 8, 1), 16, 10).cast("int") % 2 == 0
     return kept.select("id", F.when(head, F.col("node_id")).otherwise(F.col("src")).alias("src"), F.when(head, F.col("dst")).otherwise(F.col("node_id")).alias("dst"))
 

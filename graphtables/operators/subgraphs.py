@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .edges import neighborless, source_only
 from .sampling import k_hop, uniform_rows, union_of
 
@@ -29,25 +30,32 @@ def sampled_edges(hops: list[DataFrame], dedup: bool = False) -> DataFrame:
     return out.distinct() if dedup else out
 
 
-def hydrate_nodes(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(root, nodes): the set of node structs of each root; ids without a row of features vanish."""
-    met = ids.select("root", "node_id").distinct().join(nodes, "node_id")
-    return met.groupBy("root").agg(F.array_sort(F.collect_list(_node())).alias("nodes"))
+def hydrate_nodes(ids: DataFrame, nodes: DataFrame, by: str | list[str] = "root", keep: bool = False) -> DataFrame:
+    """(by, nodes): the set of node structs of each root. Where ``ids`` has node_type, ids and types both have to agree, so that the same
+    id in another type isn't met. Ids without a row of features vanish, or with ``keep`` stay with null features."""
+    by = [by] if isinstance(by, str) else by
+    key = ["node_id", "node_type"] if "node_type" in ids.columns else ["node_id"]
+    met = ids.select(*by, *key).distinct().join(nodes, key, "left" if keep else "inner")
+    return met.groupBy(*by).agg(F.array_sort(F.collect_list(_node())).alias("nodes"))
 
 
-def hydrate_edges(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, edges): the bag of edge structs of each root; parallel edges multiply."""
-    met = rows.select("root", "src", "dst").join(edges, ["src", "dst"])
-    return met.groupBy("root").agg(F.array_sort(F.collect_list(_edge())).alias("edges"))
+def hydrate_edges(rows: DataFrame, edges: DataFrame, by: str | list[str] = "root", keep: bool = False) -> DataFrame:
+    """(by, edges): the bag of edge structs of each root; parallel edges multiply. Where ``rows`` has edge_type, it has to agree too. Edges
+    without a row of features vanish, or with ``keep`` stay with null features."""
+    by = [by] if isinstance(by, str) else by
+    key = ["src", "dst", "edge_type"] if "edge_type" in rows.columns else ["src", "dst"]
+    met = rows.select(*by, *key).join(edges, key, "left" if keep else "inner")
+    return met.groupBy(*by).agg(F.array_sort(F.collect_list(_edge())).alias("edges"))
 
 
 def rooted_subgraphs(nodes: DataFrame, edges: DataFrame, fanouts: list[int] | None = None, dedup_edges: bool = False) -> DataFrame:
     """(root, root_node, nodes, edges): the sampled neighborhood of every node with in-edges, the root among its nodes.
 
-    Ids are sampled first; features meet them in one join for nodes and one for edges, whatever the number of hops."""
-    rows = sampled_edges(k_hop(edges.select("src", "dst"), fanouts or [10, 10]), dedup_edges)
-    roots = rows.select("root").distinct()
-    ids = rows.select("root", F.explode(F.array("src", "dst")).alias("node_id")).unionByName(roots.select("root", F.col("root").alias("node_id")))
+    Ids are sampled first; features meet them in one join for nodes and one for edges, whatever the number of hops. Edges and sampled
+    paths are tables, so that neither is made again for each use."""
+    edges = materialize(edges, "edges")
+    rows = materialize(sampled_edges(k_hop(edges.select("src", "dst"), fanouts or [10, 10]), dedup_edges), "sampled")
+    ids = rows.select("root", F.explode(F.array("src", "dst", "root")).alias("node_id"))
     root_node = nodes.select(F.col("node_id").alias("root"), _node().alias("root_node"))
     out = hydrate_nodes(ids, nodes).join(hydrate_edges(rows, edges), "root", "left").join(root_node, "root")
     return out.select("root", "root_node", "nodes", F.coalesce("edges", F.array().cast(f"array<{EDGE}>")).alias("edges"))
@@ -114,11 +122,19 @@ def reference_subgraphs(subgraphs: DataFrame, nodes: DataFrame, edges: DataFrame
     return subgraphs.unionByName(alone.select("root", "root_node", F.array("root_node").alias("nodes"), F.lit(None).cast(f"array<{EDGE}>").alias("edges")))
 
 
-def ego_nets(edges: DataFrame, n: int, hops: int = 2, post=None) -> DataFrame:
-    """(root, neighbors): sampled in-neighbors up to ``hops``, as sorted sets of (hop, node_id); ``post`` maps the result."""
-    both = edges.select("src", "dst")
-    parts = [p.select("root", F.lit(k).alias("hop"), F.col(f"hop{k}").alias("node_id")) for k, p in enumerate(k_hop(both, [n] * hops), 1)]
+def ego_nets(edges: DataFrame, n: int, hops: int = 2, post=None, nodes: DataFrame | None = None) -> DataFrame:
+    """(root, neighbors): sampled in-neighbors up to ``hops``, as sorted sets of (hop, node_id); ``post`` maps the result.
+
+    With ``nodes`` also the features: (root, root_node, neighbors, nodes, edges), nodes and edges as sets of structs by id and type."""
+    paths = k_hop(edges.select("src", "dst"), [n] * hops)
+    parts = [p.select("root", F.lit(k).alias("hop"), F.col(f"hop{k}").alias("node_id")) for k, p in enumerate(paths, 1)]
     out = union_of(parts).groupBy("root").agg(F.array_sort(F.collect_set(F.struct("hop", "node_id"))).alias("neighbors"))
+    if nodes is not None:
+        rows = materialize(sampled_edges(paths, dedup=True), "ego_edges")
+        ids = rows.select("root", F.explode(F.array("src", "dst", "root")).alias("node_id"))
+        root_node = nodes.select(F.col("node_id").alias("root"), _node().alias("root_node"))
+        out = out.join(hydrate_nodes(ids, nodes), "root").join(hydrate_edges(rows, edges), "root").join(root_node, "root")
+        out = out.select("root", "root_node", "neighbors", "nodes", "edges")
     return post(out) if post else out
 
 

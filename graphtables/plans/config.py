@@ -13,15 +13,18 @@ EdgeType = tuple[str, str, str]
 
 
 def parse_fanouts(text: str) -> list[int] | dict[EdgeType, list[int]]:
-    """``[10, 5]``, or one list for each edge type: ``{("a", "to", "b"): [10, 5]}``; all lists of one length."""
+    """``[10, 5]``, or one list for each edge type: ``{("a", "to", "b"): [10, 5]}``; all lists of one length, no negative fanouts, and none
+    for label relations, which are never sampled."""
     value = ast.literal_eval(text)
     lists = list(value.values()) if isinstance(value, dict) else [value]
-    if not lists or any(not isinstance(x, list) or not x or any(not isinstance(n, int) or n < -1 for n in x) for x in lists):
+    if not lists or any(not isinstance(x, list) or not x or any(not isinstance(n, int) or n < 0 for n in x) for x in lists):
         raise ValueError(f"not fanouts: {text}")
     if len({len(x) for x in lists}) > 1:
         raise ValueError("all edge types need the same number of hops")
     if isinstance(value, dict) and any(not (isinstance(k, tuple) and len(k) == 3) for k in value):
         raise ValueError("edge types are (source type, relation, destination type)")
+    if isinstance(value, dict) and (labels := [k for k in value if str(k[1]).endswith(("positive_label", "negative_label"))]):
+        raise ValueError(f"label relations are not sampled: {labels}")
     return value
 
 
@@ -75,3 +78,50 @@ class Registry:
 
 
 REGISTRY = Registry()
+
+
+#: What a job's configuration may hold: names, whether they are needed, and their types.
+TEMPLATE: dict[str, tuple[bool, type | tuple[type, ...]]] = {
+    "task": (True, str), "node_types": (True, (list, tuple)), "edge_types": (True, (list, tuple)), "fanouts": (False, (list, dict, str)), "split": (False, dict),
+    "positive_edges": (False, int), "supervision_edge_types": (False, (list, tuple)), "skip_training": (False, bool), "paths": (False, dict), "directed": (False, bool),
+}
+TASKS = ("node_classification", "link_prediction", "inference")
+
+
+def check_config(config: dict, exists: Callable[[str], bool] | None = None) -> GraphMetadata:
+    """The metadata of a job's configuration; an error that names every fault it has: unknown, missing or mistyped entries, types that don't
+    meet, fanouts, split ratios, supervision types outside the graph, and with ``exists`` paths where nothing is."""
+    faults = [f"unknown entry {k}" for k in config if k not in TEMPLATE]
+    for name, (needed, kind) in TEMPLATE.items():
+        if name not in config:
+            faults += [f"{name} is missing"] if needed else []
+        elif not isinstance(config[name], kind):
+            faults.append(f"{name} is a {type(config[name]).__name__}")
+    if faults:
+        raise ValueError("; ".join(faults))
+    if config["task"] not in TASKS:
+        faults.append(f"task {config['task']}")
+    edge_types = tuple(tuple(x) for x in config["edge_types"])
+    metadata = None
+    try:
+        metadata = GraphMetadata(tuple(config["node_types"]), edge_types)
+    except ValueError as e:
+        faults.append(str(e))
+    if "fanouts" in config:
+        try:
+            fanouts = parse_fanouts(config["fanouts"] if isinstance(config["fanouts"], str) else repr(config["fanouts"]))
+            faults += [f"fanouts of unknown edge type {k}" for k in (fanouts if isinstance(fanouts, dict) else ()) if k not in edge_types]
+        except (ValueError, SyntaxError) as e:
+            faults.append(str(e))
+    if (ratios := config.get("split")) is not None and (set(ratios) != {"TRAIN", "VAL", "TEST"} or any(x < 0 for x in ratios.values()) or abs(sum(ratios.values()) - 1) > 1e-9):
+        faults.append(f"split ratios {ratios}")
+    if config["task"] == "link_prediction" and not config.get("supervision_edge_types"):
+        faults.append("link prediction needs supervision_edge_types")
+    faults += [f"supervision edge type {x} is not of the graph" for x in config.get("supervision_edge_types", ()) if tuple(x) not in edge_types]
+    if config.get("positive_edges", 1) < 1:
+        faults.append("positive_edges is below 1")
+    if exists is not None:
+        faults += [f"nothing at {name}: {uri}" for name, uri in config.get("paths", {}).items() if not exists(uri)]
+    if faults or metadata is None:
+        raise ValueError("; ".join(faults))
+    return metadata

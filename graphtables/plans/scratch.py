@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process's tables, by session, removed when the process ends.
+_made: list[tuple[SparkSession, str]] = []
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet below spark.checkpoint.dir (a local folder only where that is unset) and read back.
 
-    It is computed once, its lineage ends there, and it survives lost executors; its size is known from its files, so plans over
-    it, in loops too, get honest estimates."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset and all run in one process (tests) a local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="graphtables-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet below spark.checkpoint.dir and read back, in folders by the values of a column if ``by`` names one.
+
+    It is computed once, its lineage ends there, and it survives lost executors; its size is known from its files, so plans over
+    it, in loops too, get honest estimates."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(f"{folder}/{name}")
+    _made.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def remove_tables() -> None:
+    """Remove all tables that this process has materialized; DataFrames over them can't be read afterwards."""
+    while _made:
+        spark, folder = _made.pop()
+        local = folder.removeprefix("file://") if folder.startswith("file:///") else folder
+        if local.startswith("/") and os.path.isdir(local):  # also where the session has ended
+            shutil.rmtree(local, ignore_errors=True)
+            continue
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+atexit.register(remove_tables)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +76,8 @@ def shard(df: DataFrame, key: str, i: int, n: int) -> DataFrame:
 
 
 def sharded(df: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """All shards again, each its own part of the plan."""
-    out = shard(df, key, 0, n)
-    for i in range(1, n):
-        out = out.unionByName(shard(df, key, i, n))
-    return out
+    """All rows, each shard in a partition of its own: one scan, dealt out by the key's hash."""
+    return df.repartitionById(n, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int"))
 
 
 def edge_table_with_features(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -128,6 +126,52 @@ def tables_by_pattern(spark: SparkSession, pattern: str, first: str = "", last:
     return [name for _, name in sorted(found, reverse=True)]
 
 
+def tables_created(spark: SparkSession, part: str, first: str = "", last: str = "\uffff") -> list[str]:
+    """Tables whose name has the part and whose day of creation (yyyymmdd, UTC by the session's time zone) lies between the bounds, oldest first."""
+    found = []
+    for name in tables_matching(spark, part):
+        rows = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED `{name}`").collect()}
+        made = datetime.strptime(re.sub(r" [A-Z]+ (?=\d{4}$)", " ", rows["Created Time"]), "%a %b %d %H:%M:%S %Y")
+        if first <= made.strftime("%Y%m%d") <= last:
+            found.append((made, name))
+    return [name for _, name in sorted(found)]
+
+
+def with_date(prefix: str, day: date | str) -> str:
+    """The name of a prefix's table of a day: the prefix, _ and yyyymmdd."""
+    return f"{prefix}_{day if isinstance(day, str) else day.strftime('%Y%m%d')}"
+
+
+def lookback(spark: SparkSession, prefix: str, day: str, days: int) -> str | None:
+    """The newest table of the prefix from the days before ``day`` (yyyymmdd), as many as given; none if there is none."""
+    last = datetime.strptime(day, "%Y%m%d").date()
+    first, before = (last - timedelta(days=days)).strftime("%Y%m%d"), (last - timedelta(days=1)).strftime("%Y%m%d")
+    return next(iter(tables_by_pattern(spark, re.escape(prefix) + r"_(\d{8})", first, before)), None)
+
+
+def insert(df: DataFrame, name: str) -> None:
+    """Rows into a table of the catalog by column name; the table is made if it isn't there."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(name):
+        df.select(*spark.table(name).columns).write.insertInto(name)
+    else:
+        df.write.saveAsTable(name)
+
+
+def copy_files(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> int:
+    """Copy a file or folder between any file systems that Spark knows, on the driver; how many files there are now."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    a, b = fs.Path(source), fs.Path(target)
+    there = b.getFileSystem(conf)
+    if there.exists(b):
+        if not overwrite:
+            raise FileExistsError(target)
+        there.delete(b, True)
+    fs.FileUtil.copy(a.getFileSystem(conf), a, there, b, False, conf)
+    return there.getContentSummary(b).getFileCount()
+
+
 def drop_matching(spark: SparkSession, part: str) -> list[str]:
     """Drop the tables that match; their names."""
     names = tables_matching(spark, part)
