@@ -16,8 +16,10 @@ from graphtables.plans import config
 from graphtables.plans.graph import GraphTables, preprocess, split_all
 from graphtables.sources import tables as S
 
-# hub 0, two-way neighbors; 9 isolated, 10 a source only, 11 a sink only, 12 a self-loop
-PAIRS = [(0, i) for i in range(1, 9)] + [(i, 0) for i in range(1, 9)] + [(1, 2), (2, 1), (1, 3), (3, 1), (10, 11), (12, 12)]
+# a wheel: 0 in its middle, tied both ways to the rim 1 to 8, of which 1 is tied to 2 and 3; apart from it 9 alone, 10 that only points at 11,
+# and 12 that points at itself
+RIM = range(1, 9)
+PAIRS = [pair for i in RIM for pair in ((0, i), (i, 0))] + [pair for i in (2, 3) for pair in ((1, i), (i, 1))] + [(10, 11), (12, 12)]
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,7 @@ def ids(df, column="node_id"):
 
 
 def test_integer_mix_goldens(spark):
+    # fixed values: what the mixer gives for 0 to 3
     rows = spark.range(4).select(hashing.integer_mix("id", 32).alias("a"), hashing.integer_mix("id").alias("b")).collect()
     assert [r.a for r in rows] == [1492470133, 1071609072, 81290992, 325464930]
     assert [r.b for r in rows] == [1622107259858988186, 3834912982681189024, 2886753494712499930, 5597559336455034305]
@@ -93,23 +96,27 @@ def test_bidirect_conflicts_and_dangling(spark):
 
 
 def test_slotted_join_is_the_join(spark):
-    e = spark.createDataFrame([(0, 1), (0, 2), (1, 11), (2, 22), (11, 0), (22, 0), (-5, 0)], "k long, v long")
-    o = e.select(F.col("k"), F.col("v").alias("w"))
+    r = random.Random(3)
+    e = spark.createDataFrame([(r.randint(-4, 9), i) for i in range(40)], "k long, v long")
+    o = spark.createDataFrame([(r.randint(-4, 9), i) for i in range(15)], "k long, w long")
     assert sorted(E.slotted_join(e, o, "k", 3).collect()) == sorted(e.join(o, "k").collect())
 
 
 def test_enumeration(spark):
-    nodes = spark.createDataFrame([("Alice", 1), ("Bob", 2), ("Charlie", 3)], "person string, age int").repartition(3)
-    edges = spark.createDataFrame([("Alice", "Bob"), ("Bob", "Charlie")], "a string, b string")
-    table, numbered, e = preprocess(nodes, "person", edges, "a", "b")
-    assert {r.person: r.int_id for r in table.collect()} == {"Alice": 0, "Bob": 1, "Charlie": 2}
-    assert sorted(map(tuple, e.collect())) == [(0, 1), (1, 2)] and sorted(map(tuple, numbered.collect())) == [(0, 1), (1, 2), (2, 3)]
-    back = enumeration.unenumerate(numbered.withColumnRenamed("int_id", "node_id"), table, "person")
-    assert sorted(map(tuple, back.collect())) == [("Alice", 1), ("Bob", 2), ("Charlie", 3)]
+    towns = [("Ulm", 126), ("Bergen", 285), ("Poznań", 541), ("Aarhus", 285)]
+    nodes = spark.createDataFrame(towns, "town string, size int").repartition(3)
+    roads = [("Ulm", "Aarhus"), ("Bergen", "Poznań")]
+    edges = spark.createDataFrame(roads, "a string, b string")
+    number = {name: i for i, name in enumerate(sorted(x for x, _ in towns))}
+    table, numbered, e = preprocess(nodes, "town", edges, "a", "b")
+    assert {r.town: r.int_id for r in table.collect()} == number
+    assert sorted(map(tuple, e.collect())) == sorted((number[a], number[b]) for a, b in roads) and sorted(map(tuple, numbered.collect())) == sorted((number[x], n) for x, n in towns)
+    back = enumeration.unenumerate(numbered.withColumnRenamed("int_id", "node_id"), table, "town")
+    assert sorted(map(tuple, back.collect())) == sorted(towns)
     with pytest.raises(ValueError):
-        preprocess(nodes.unionByName(nodes), "person", edges, "a", "b")
+        preprocess(nodes.unionByName(nodes), "town", edges, "a", "b")
     with pytest.raises(ValueError):
-        preprocess(nodes, "person", edges.withColumn("b", F.lit("Nobody")), "a", "b")
+        preprocess(nodes, "town", edges.withColumn("b", F.lit("Atlantis")), "a", "b")
 
 
 def test_sampling_is_bounded_and_reproducible(graph):
@@ -288,7 +295,7 @@ def test_partitioning():
 
 def test_config(spark):
     assert config.parse_fanouts("[10, 5]") == [10, 5] and config.parse_fanouts("{('a', 'to', 'b'): [1, 2]}") == {("a", "to", "b"): [1, 2]}
-    for bad in ("[]", "{('a', 'to', 'b'): [1], ('b', 'to', 'a'): [1, 2]}", "3", "[-2]"):
+    for bad in ("[]", "{('a', 'to', 'b'): [1], ('b', 'to', 'a'): [1, 2]}", "3", "[-2]", "[-1]", "{('a', 'to_positive_label', 'b'): [1]}"):
         with pytest.raises(ValueError):
             config.parse_fanouts(bad)
     meta = config.GraphMetadata(("user", "story"), (("user", "to", "story"),))
@@ -326,8 +333,8 @@ def test_sources(spark, tmp_path):
 def test_preprocessor(spark, tmp_path):
     from graphtables.plans import jobs
 
-    spark.createDataFrame([("Alice", 1.5, None), ("Bob", None, 2)], "person string, height double, age int").write.parquet(f"{tmp_path}/n")
-    spark.createDataFrame([("Alice", "Bob", 3)], "a string, b string, w int").write.parquet(f"{tmp_path}/e")
+    spark.createDataFrame([("Aarhus", 1.5, None), ("Bergen", None, 2)], "person string, height double, age int").write.parquet(f"{tmp_path}/n")
+    spark.createDataFrame([("Aarhus", "Bergen", 3)], "a string, b string, w int").write.parquet(f"{tmp_path}/e")
 
     class Config(jobs.PreprocessorConfig):
         def node_specs(self):
@@ -343,3 +350,188 @@ def test_preprocessor(spark, tmp_path):
     S.check_references(list(Config().node_specs()), list(Config().edge_specs()), {"person"}, {("person", "knows", "person")})
     with pytest.raises(ValueError):
         S.check_references([], [], {"person"}, set())
+
+
+def test_later_hops_draw_distinct_neighbors(spark):
+    """A path through a hub gets n distinct neighbors of it, others for other paths, and the draws cover the hub's neighbors evenly."""
+    hub = [(i, 0) for i in range(1, 41)] + [(0, 100 + i) for i in range(300)]
+    paths = sampling.k_hop(spark.createDataFrame(hub, "src long, dst long"), [5, 4])[1].collect()
+    by = defaultdict(list)
+    for r in paths:
+        by[r.root].append(r.hop2)
+    assert len(by) == 300 and all(len(x) == len(set(x)) == 4 and set(x) <= set(range(1, 41)) for x in by.values())
+    n = np.bincount([x for each in by.values() for x in each], minlength=41)[1:]
+    assert n.sum() == 1200 and n.min() > 10 and n.max() < 55 and len({tuple(sorted(x)) for x in by.values()}) > 8
+
+
+def test_drawn_places(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 13).alias("d")).select("id", "d", sampling.drawn_places(5, "d", "s", "id").alias("p"), sampling.drawn_places(F.lit(-1), "d", "s", "id").alias("all"))
+    for r in rows.collect():
+        assert len(set(r.p)) == len(r.p) == min(5, r.d) and all(0 <= x < r.d for x in r.p) and sorted(r["all"]) == list(range(r.d))
+
+
+def test_typed_frontier_follows_types_and_no_labels(spark):
+    kind = "src long, dst long, src_type string, relation string, dst_type string"
+    e = spark.createDataFrame([(1, 1, "b", "to", "a"), (2, 1, "b", "to", "a"), (1, 1, "a", "likes", "b"), (7, 1, "a", "likes", "b"), (9, 1, "b", "x_positive_label", "a")], kind)
+    seeds = spark.createDataFrame([(1, "a"), (5, "a")], "node_id long, node_type string")
+    got = {(r.root, r.node_id, r.node_type, r.hop) for r in sampling.typed_frontier(e, seeds, {("b", "to", "a"): [-1, 0], ("a", "likes", "b"): [0, 5]}).collect()}
+    assert got == {(1, 1, "a", 0), (5, 5, "a", 0), (1, 1, "b", 1), (1, 2, "b", 1), (1, 7, "a", 2)}
+    for bad in ({("b", "x_positive_label", "a"): [1]}, {("b", "to", "a"): [1], ("a", "likes", "b"): [1, 2]}):
+        with pytest.raises(ValueError):
+            sampling.typed_frontier(e, seeds, bad)
+
+
+def test_hydration_by_type(spark):
+    nodes = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0])], "node_id long, node_type int, features array<float>")
+    ids = spark.createDataFrame([(7, 1, 1), (7, 2, 1), (7, 1, 0)], "root long, node_id long, node_type int")
+    whole = subgraphs.hydrate_nodes(ids, nodes, keep=True).first().nodes
+    assert [(n.node_id, n.node_type, n.features) for n in whole] == [(1, 0, [1.0]), (1, 1, [2.0]), (2, 1, None)]
+    assert len(subgraphs.hydrate_nodes(ids, nodes).first().nodes) == 2
+    edges = spark.createDataFrame([(1, 2, 0, [1.0]), (1, 2, 1, [2.0])], "src long, dst long, edge_type int, features array<float>")
+    rows = spark.createDataFrame([(7, 1, 2, 1), (7, 3, 4, 1)], "root long, src long, dst long, edge_type int")
+    assert [(e.src, e.edge_type, e.features) for e in subgraphs.hydrate_edges(rows, edges, keep=True).first().edges] == [(1, 1, [2.0]), (3, 1, None)]
+
+
+def test_ego_nets_of_three_hops(graph):
+    nodes, edges = graph
+    got = {r.root: r for r in subgraphs.ego_nets(edges, 50, 3, nodes=nodes).collect()}
+    near = defaultdict(set)
+    for a, b in PAIRS:
+        near[b].add(a)
+    for root, r in got.items():
+        hops = [{root}]
+        for _ in range(3):
+            hops.append({y for x in hops[-1] for y in near[x]})
+        assert {(x.hop, x.node_id) for x in r.neighbors} == {(k, x) for k in (1, 2, 3) for x in hops[k]}
+        assert {n.node_id for n in r.nodes} == set().union(*hops) and all(n.features[0] == n.node_id for n in r.nodes)
+        assert {(e.src, e.dst) for e in r.edges} == {(a, b) for k in range(3) for b in hops[k] for a in near[b]} and r.root_node.node_id == root
+    assert subgraphs.ego_nets(edges, 2, 1, post=lambda df: df.limit(1)).count() == 1
+
+
+def test_label_seeds_and_remap(spark):
+    labels = spark.createDataFrame([(4, 9), (4, 2), (4, 9), (4, 4), (5, 1), (6, 1)], "src long, dst long")
+    seeds = sampling.anchor_and_label_seeds(spark.createDataFrame([(4,), (5,), (8,)], "node_id long"), labels)
+    assert sorted((r.root, r.place, r.node_id) for r in seeds.collect()) == [(4, 0, 4), (4, 1, 2), (4, 2, 9), (5, 0, 5), (5, 1, 1), (8, 0, 8)]
+    own = labels.where("src < 6 AND src <> dst").distinct()
+    assert sorted(map(tuple, sampling.remap_labels(own, seeds).collect())) == [(4, 2, 1), (4, 9, 2), (5, 1, 1)]
+    with pytest.raises(Exception, match="was not sampled"):
+        sampling.remap_labels(labels.where("src <> dst"), seeds).collect()
+
+
+def test_unfinished_push_is_an_error(spark):
+    e = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node_id long")
+    with pytest.raises(RuntimeError, match="isn't done"):
+        ppr.forward_push(e, seeds, most_rounds=3)
+    assert ppr.forward_push(e, seeds, most_rounds=3, unfinished="return").count() == 4
+
+
+def test_channels_sequences_and_reach(spark):
+    pushed = spark.createDataFrame([(0, i, 1.0 / i, 0.0, 1) for i in range(1, 7)], "seed long, node_id long, score double, residual double, hop int")
+    types = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1, 7)], "node_id long, node_type string")
+    got = [(r.node_id, r.channel) for r in sorted(ppr.by_channel(pushed, types, {"a": 1, "b": 2}).collect(), key=lambda r: r["rank"])]
+    assert got == [(1, "b"), (2, "a"), (3, "b")]
+    line = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(0, 9)], "src long, dst long")
+    reached = ppr.reachable(line, spark.createDataFrame([(0,)], "node_id long"), 2, 10).collect()
+    assert {(r.node_id, r.hop) for r in reached} == {(0, 0), (1, 1), (9, 1), (2, 2)} and sorted(r["rank"] for r in reached) == [1, 2, 3, 4]
+    assert {(r.src, r.dst) for r in ppr.induced_edges(spark.createDataFrame([(0, i) for i in (0, 1, 2)], "seed long, node_id long"), line).collect()} == {(0, 1), (1, 2)}
+
+
+def test_thresholds_statistics_and_losses(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.95)], "node_id long, cosine double")
+    assert statistics.assert_threshold(df, "cosine", 0.4, 1.0).count() == 2
+    for low, high in ((0.9, None), (None, 0.6)):
+        with pytest.raises(Exception, match="beyond its threshold"):
+            statistics.assert_threshold(df, "cosine", low, high).collect()
+    x = spark.createDataFrame([(float(v),) for v in (3, 1, 4, 1, 5, 9, 2, 6)] + [(None,)], "x double").repartition(4)
+    got = statistics.quantiles(x, "x", (0.0, 0.3, 0.5, 1.0)).first()
+    assert [got[i] for i in range(4)] == pytest.approx(np.quantile([3, 1, 4, 1, 5, 9, 2, 6], (0.0, 0.3, 0.5, 1.0)))
+    far = spark.createDataFrame([(-2000.0, 0.0), (2000.0, 0.0)], "positive_score double, negative_score double")
+    assert statistics.bpr_loss(far).first().bpr == pytest.approx(1000)
+    few = spark.createDataFrame([(i % 7,) for i in range(100)], "v int")
+    sketch = statistics.count_min(few, "v", 4, 64)
+    assert {r.v: r.estimate for r in statistics.count_min_estimate(sketch, few, "v", 4, 64).collect()} == {v: 100 // 7 + (v < 100 % 7) for v in range(7)}
+    log_q = spark.createDataFrame([(5, 100), (100, 100)], "f long, t long").select(sampling.log_q("f", 4, "t").alias("q")).collect()
+    assert [r.q for r in log_q] == pytest.approx([np.log(0.2), 0.0])
+
+
+def test_self_supervised_takes_the_share(graph):
+    _, edges = graph
+    pairs = edges.select("src", "dst")
+    few = {tuple(r) for r in sampling.self_supervised_positives(pairs, 0.5).collect()}
+    assert len(few) == len(PAIRS) // 2 and few <= set(PAIRS) and few == {tuple(r) for r in sampling.self_supervised_positives(pairs.repartition(6), 0.5).collect()}
+
+
+def test_in_batch_negatives_are_others(spark):
+    rows = spark.createDataFrame([(i, i % 3, "r" if i < 40 else "s", i, 100 + i) for i in range(42)], "id long, batch long, relation string, src long, dst long")
+    by = defaultdict(list)
+    for r in sampling.negatives_in_batch(rows, 4).collect():
+        by[r.id].append(r.dst - 100)
+    assert all(len(set(by[i])) == 4 and all(j != i and j % 3 == i % 3 and j < 40 for j in by[i]) for i in range(40)) and 40 not in by
+    sides = sampling.negatives_in_batch(rows, 4, corrupt="both").collect()
+    assert {(r.src == r.id, r.dst == r.id + 100) for r in sides} == {(True, False), (False, True)}
+
+
+def test_quantize_checks(spark):
+    df = spark.createDataFrame([([1.0, float("nan")],)], "f array<double>")
+    with pytest.raises(ValueError):
+        vectors.codes("f", 3, 0, 1)
+    with pytest.raises(Exception, match="not finite"):
+        df.select(vectors.codes("f", 4, 0, 1)).collect()
+
+
+def test_check_config():
+    good = {"task": "link_prediction", "node_types": ["u", "v"], "edge_types": [("u", "to", "v")], "fanouts": {("u", "to", "v"): [2, 2]}, "split": {"TRAIN": 0.8, "VAL": 0.1, "TEST": 0.1}, "supervision_edge_types": [("u", "to", "v")], "paths": {"nodes": "a"}}
+    assert config.check_config(good, lambda uri: uri == "a").edge_types == (("u", "to", "v"),)
+    faults = {"task": "nothing", "fanouts": "[1, -3]", "split": {"TRAIN": 0.5, "VAL": 0.1, "TEST": 0.1}, "positive_edges": 0, "supervision_edge_types": [("v", "to", "u")], "node_types": ["u"], "paths": {"nodes": "b"}, "surprise": 1, "directed": 1}
+    for k, v in faults.items():
+        with pytest.raises(ValueError):
+            config.check_config(good | {k: v}, lambda uri: uri == "a")
+    with pytest.raises(ValueError, match="task is missing"):
+        config.check_config({})
+
+
+def test_typed_edges_by_usage(spark):
+    e = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, w double")
+    parts = {(("a", "to", "b"), "main"): e, (("b", "of", "a"), "main"): E.reverse(e), (("a", "to", "b"), "positive"): e.withColumn("dst", F.lit(3).cast("long"))}
+    assert {(r.src, r.dst, r.relation, r.edge_type) for r in E.load_typed_edges(parts).collect()} == {(1, 2, "to", 0), (2, 1, "of", 1)}
+    assert [(r.dst, r.features) for r in E.load_typed_edges(parts, "positive").collect()] == [(3, [0.5])]
+    with pytest.raises(ValueError):
+        E.load_typed_edges(parts, "negative")
+    assert E.without_relations(E.labels_as_edges(e, e).unionByName(e.select("src", "dst", F.lit("to").alias("relation")))).count() == 1
+
+
+def test_attributes(spark):
+    df = spark.createDataFrame([(1, [1.0], [2.0, 3.0]), (2, None, [4.0])], "k long, f array<float>, g array<float>")
+    assert [r[0] for r in df.orderBy("k").select(impute.concat_attributes("f", "g")).collect()] == [[1.0, 2.0, 3.0], [4.0]]
+    more = spark.createDataFrame([(1, 7)], "k long, n int")
+    assert {r.k: r.n for r in impute.add_attribute(df, more, "k", "n", 0).collect()} == {1: 7, 2: 0}
+    with pytest.raises(ValueError):
+        impute.add_attribute(df, more.withColumnRenamed("n", "f"), "k", "f")
+    assert impute.constant_feature(df, "c", 2.0, 2).first().c == [2.0, 2.0]
+
+
+def test_catalog_and_files(spark, tmp_path):
+    from datetime import date
+
+    df = spark.range(5).withColumnRenamed("id", "k")
+    names = [S.with_date("drift", x) for x in ("20240101", date(2024, 1, 5), "20240109")]
+    for name in names:
+        S.insert(df, name)
+    S.insert(df, names[0])
+    assert spark.table(names[0]).count() == 10 and S.rows_and_columns(spark.table(names[1])) == (5, 1) and S.has_columns(df, "k") and not S.has_columns(df, "z")
+    assert S.lookback(spark, "drift", "20240109", 30) == names[1] and S.lookback(spark, "drift", "20240109", 2) is None
+    assert S.tables_created(spark, "drift_", "20200101") == names or set(S.tables_created(spark, "drift_", "20200101")) == set(names)
+    assert S.tables_created(spark, "drift_", "20990101") == []
+    S.drop_matching(spark, "drift_")
+    S.write(df, f"{tmp_path}/a")
+    S.write(df, f"{tmp_path}/a", mode="append")
+    assert S.read(spark, f"{tmp_path}/a").count() == 10
+    assert S.copy_files(spark, f"{tmp_path}/a", f"{tmp_path}/b") > 0 and S.read(spark, f"{tmp_path}/b").count() == 10
+    with pytest.raises(FileExistsError):
+        S.copy_files(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    S.export_predictions(spark.createDataFrame([(1, 2.0)], "node_id long, pred double"), f"{tmp_path}/p")
+    assert S.read(spark, f"{tmp_path}/p").first() == (1, 2)
+    assert S.features_and_label(spark.createDataFrame([(1, 2, 3)], "a int, b int, y int"), ["a", "b"], ["y"]).first() == ([1.0, 2.0], [3.0])
+    assert {k: v.count() for k, v in S.by_clauses(df, {"low": "k < 2", "high": "k >= 2"}).items()} == {"low": 2, "high": 3}
+    assert S.post_process(df, lambda x: x.limit(2), lambda x: x.limit(1)).count() == 1

@@ -26,18 +26,6 @@ def test_runs(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() > 0
 
 
-WHOLE = {"frontier_sampling": [(" WHERE c_custkey % 10 = 1", "")], "sampling_plan": [(" WHERE c_custkey % 20 = 0", "")], "in_batch_negatives": [(" WHERE l_orderkey % 40 = 0", ""), ("l_orderkey % 50", "l_orderkey // 256")]}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_matches_sql_without_filter(spark, con, name):
-    sql = queries.ORACLE_SQL[name]
-    for part, instead in WHOLE[name]:
-        assert part in sql
-        sql = sql.replace(part, instead)
-    assert differ(spark, con, name, queries.QUERIES[f"{name}_whole"], sql, FOLDER) is None
-
-
 def test_personalized_pagerank_takes_all_customers(spark, con):
     seeds = {r.seed for r in queries.QUERIES["personalized_pagerank"](spark, FOLDER).select("seed").distinct().collect()}
     assert seeds == {x for (x,) in con.execute("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)").fetchall()}
