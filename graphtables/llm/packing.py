@@ -25,7 +25,7 @@ OPEN_BINS = 1024
 GROUP = 8192
 END = 0
 #: Most pre-tokens whose ids a Python worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 _ids: dict[str, bytes] = {}
 cached(__name__, _ids.clear)
 
@@ -59,7 +59,7 @@ def pieces(tokenizer: str, sequence: int, end: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
-            for batch in slices(whole, "text", most_bytes=4 << 20):
+            for batch in slices(whole, "text", most_bytes=2 << 20):
                 out: dict[str, list] = {x: [] for x in ("doc_id", "piece", "start", "length", "ids_crc32")}
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_batch(batch.column("text"), tokenizer), strict=True):
                     ids += last
@@ -139,7 +139,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequ
     spark = docs.sparkSession
     made = cut(arrow_map(only(docs, "doc_id", "text"), pieces(tokenizer, sequence, end), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     groups = max(1, -(-made.count() // group))
-    arrival = F.xxhash64("doc_id", "ids_crc32", "length")
-    dealt = made.withColumns({"grp": F.pmod(arrival, F.lit(groups)), "arrival": F.xxhash64(arrival, "piece")})
+    # the place among the written pieces tells repeated rows apart, so that they too divide over the groups
+    arrival = F.xxhash64("doc_id", "ids_crc32", "length", "piece", F.monotonically_increasing_id())
+    dealt = made.withColumn("arrival", arrival).withColumn("grp", F.pmod(F.col("arrival"), F.lit(groups)))
     dealt = dealt.repartition(min(groups, shuffle_partitions(spark)) if groups > 1 else 1, "grp").sortWithinPartitions("grp", "arrival", "doc_id", "piece", "ids_crc32")
     return arrow_map(dealt, _place(sequence, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -132,8 +132,10 @@ def build(urls: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> dict[str,
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, default: str = "allow") -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, the longest rule that fits (null: none) and its verdict.
 
-    A rule fits its host and all subdomains, where the url's path starts with the rule's. What no list holds gets ``default``.
-    Null and malformed urls have empty host and path and fit no rule but one with an empty host."""
+    A rule fits its host and all subdomains, where the url's path starts with the rule's. Of rules that fit, the one with the longest host
+    and path together wins; equally long ones can't fit the same url unless they are the same. What no list holds gets ``default``.
+    Null and malformed urls have empty host and path and fit no rule but one with an empty host; very long ones are judged whole.
+    Repeated rows each keep theirs, null ids too; an empty table gives no rows; other columns are ignored, whatever their names."""
     urls = pages.select("page_id", host().alias("host"), path().alias("path"))
     shared = urls.sparkSession.sparkContext.broadcast(build(urls, rules))
     lengths = tuple(sorted({len(p) for _, _, p in rules}))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from compare import connect, differ
 from graphtables.llm import fingerprints as fp
 from graphtables.llm import html_text, language, mixing, near_duplicates, packing, pii, pretokens, queries, token_counts, topk, urls
 
@@ -265,6 +267,33 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     check_groups(spark, rows, 2)
 
 
+def test_recall_in_a_large_straddling_group(spark):
+    """2,000 near copies whose pairs lie on both sides of the threshold, among others with half of their words: nothing is lost."""
+    r = random.Random(6)
+    base, half = [f"b{i}" for i in range(60)], [f"b{i}" for i in range(30)]
+    rows = [(i, edited(base, r, r.choice((1, 3, 6, 12)))) for i in range(2000)]
+    rows += [(5000 + i, " ".join(half + [f"o{r.randrange(10**6)}" for _ in range(30)])) for i in range(300)]
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
+    number = {}
+    ones = np.zeros((len(rows), 90_000), np.float32)
+    for i, own in enumerate(sets):
+        for x in own:
+            ones[i, number.setdefault(x, len(number))] = 1
+    ones = ones[:, : len(number)]
+    both, size = ones @ ones.T, np.array([len(x) for x in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    comp = np.arange(len(rows))
+    while True:  # the least number that is reached
+        least = np.where(linked, comp[None, :], len(rows)).min(axis=1)
+        if (least == comp).all():
+            break
+        comp = least
+    assert 100 < len(set(comp.tolist())) < 1500  # one giant, and many that are just outside
+    got = {x.doc_id: x.component_id for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2).collect()}
+    wrong = sum(got[d] != rows[comp[i]][0] for i, (d, _) in enumerate(rows))
+    assert wrong <= 0.002 * len(rows)
+
+
 PII_TEXTS = [
     "mail a.b%c@ex-ample.co.uk, x@y.z_q@w.e and @no or n@odot", "ips 1.2.3.4.5 256.1.1.1 0001.2.3.255 10.20.30.40", "card 4111 1111 1111 1111 4041-8949-7460-8795 1234567890123456",
     "call +1 (386) 555-3733. or +49 30 1234567 (x) +12", "7" * 3000, "a" * 30000 + "@", "ñandú é a@b.cd 汉 +1 386 555 3733 4111111111111111", "+4111111111111111", "1.1.1.1 1.1.1.1", None, "",
@@ -641,6 +670,29 @@ def test_pipeline(spark, docs, tmp_path):
     assert packed.select("doc_id").distinct().count() == len({x.doc_id for x in kept[3]})
 
 
+def test_pipeline_on_odd_tables(spark, docs, tmp_path):
+    """Empty tables, tables of nulls, repeated rows, and columns whose names the operators use, through all stages."""
+    rows = docs.collect()
+    clash = docs.withColumns({x: F.lit("kept") for x in ("spans", "named", "_lang", "_copies", "_gone", "piece", "sketch")})
+    for name, table in {"none": docs.where("doc_id < -1"), "null": docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]), "twice": docs.unionByName(docs), "clash": clash}.items():
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        n = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, "")
+            assert out.columns == table.columns
+            if name == "clash":
+                assert out.where("spans <> 'kept' OR _lang <> 'kept'").count() == 0
+            n.append(out.count())
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (packed.count() > 0) == (name in ("twice", "clash"))
+        if name == "none":
+            assert n == [0] * 4
+        if name == "null":  # without a label nothing is judged
+            assert n == [len(rows)] * 3 + [0]
+
+
 def test_unlearned_languages_go(spark):
     r = random.Random(4)
     stems = {"en": "the of and to in is that it was for on are with as his they be at one have this from or had by word but what some we can out other were all there when up use your how said an each she".split(),
@@ -655,6 +707,53 @@ def test_unlearned_languages_go(spark):
     assert set(kept) == {d for d, *_ in rows if d < 2000} and {kept[d] for d in kept if d >= 1000} == {"en", "de"}
 
 
+FOLDER = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_token_counts": "doc_id n_bytes n_tokens over_limit", "op2_mixing": "doc_id size source_size target taken", "op3_exact_topk": "query_id rank vec_id score",
+    "op4_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op6_language_id": "doc_id held_out lang_pred score", "op7_url_filters": "page_id host path rule verdict", "op8_html_extraction": "page_id text",
+    "op9_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op10_near_duplicates": "doc_id n_shingles component_id kept",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query_on_the_tables(spark, name):
+    """Each registered query over a whole table: its columns, its rows, and its values by SQL or plain code."""
+    out = queries.QUERIES[name](spark, FOLDER)
+    assert out.columns[: len(COLUMNS[name].split())] == COLUMNS[name].split()
+    if name in queries.ORACLE_SQL:
+        assert differ(spark, connect(FOLDER), name, queries.QUERIES[name], queries.ORACLE_SQL[name], FOLDER) is None
+        return
+    rows = out.collect()
+    table = spark.read.parquet(f"{FOLDER}/{'pages' if name == 'op8_html_extraction' else 'documents'}.parquet").collect()
+    if name == "op8_html_extraction":
+        assert {r.page_id: r.text for r in rows} == {r.page_id: html_text.render(r.html) for r in table}
+        shown = [(html_text.render(r.html).split(), plain_words(r.html or "")) for r in table]
+        assert sum([w for w in a if w in set(b)] == [w for w in b if w in set(a)] for a, b in shown) >= 0.99 * len(shown)
+        return
+    texts = {r.doc_id: r.text or "" for r in table}
+    assert {r.doc_id for r in rows} == set(texts) and (len(rows) == len(table) or name == "op9_best_fit_packing")
+    if name == "op1_token_counts":
+        whole = library()
+        want = {d: len(whole.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+        assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {d: (len(texts[d].encode()), n, n > 512) for d, n in want.items()}
+    elif name == "op5_pii":
+        for r in rows:
+            base = plain_spans(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
+            assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        assert sum("term:" in r.spans for r in rows) > 10
+    elif name == "op6_language_id":
+        held = [r for r in rows if r.held_out]
+        langs = {r.doc_id: r.lang for r in table}
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+        assert sum(r.lang_pred == langs[r.doc_id] for r in held if langs[r.doc_id]) >= 0.95 * sum(langs[r.doc_id] is not None for r in held)
+    elif name == "op9_best_fit_packing":
+        n, used = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+        assert used <= -(-n // 2048) * 1.05 + 1
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
