@@ -227,7 +227,7 @@ def _search(k: int, seen: Callable[[int, int], None] | None = None):
                 scores, names = built.search([x[2] for x in fast], np.stack([x[3] for x in fast]), np.array([x[4] for x in fast]), k + 1)
                 for query, own, name in zip(fast, scores.tolist(), names.tolist(), strict=True):
                     for s, i in zip(own, name, strict=True):
-                        if s > _NOTHING:
+                        if s > _NOTHING and s >= query[4]:  # what is below the threshold isn't among its best anywhere
                             put(query, int(s), i)
             for query in waiting:
                 odd = query[2].dtype == object
