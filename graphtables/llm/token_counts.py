@@ -22,9 +22,9 @@ from .common import arrow_map, only, slices, staged, temporary
 from .pretokens import codec, split_batch
 
 #: Most pre-tokens that are broadcast, and bytes of each.
-HOT, HOT_BYTES = 1 << 17, 48
+HOT, HOT_BYTES = 1 << 18, 48
 #: Distinct pre-tokens that a task sums up before it passes them on.
-HELD = 200_000
+HELD = 400_000
 
 
 def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -68,14 +68,16 @@ def piece_table(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def hot_pieces(table: DataFrame, most: int) -> dict[str, int]:
-    """The pieces of the most frequent pre-tokens, ``most`` at most: those of at least a power of two of documents, from a histogram."""
-    short = table.where(F.octet_length("part") <= HOT_BYTES)
-    histogram = {x["size"]: x["rows"] for x in short.groupBy(F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("size")).agg(F.count("*").alias("rows")).collect()}
+    """The pieces of the most frequent pre-tokens, ``most`` at most: those of the highest classes of a histogram of how many documents hold
+    them, four classes to each doubling."""
+    level = F.floor(4 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+    short = table.where(F.octet_length("part") <= HOT_BYTES).withColumn("level", level)
+    histogram = {x["level"]: x["rows"] for x in short.groupBy("level").agg(F.count("*").alias("rows")).collect()}
     least, total = max(histogram, default=0) + 1, 0
-    while histogram and least > 0 and total + histogram.get(least - 1, 0) <= most:
+    while least > 0 and total + histogram.get(least - 1, 0) <= most:
         least -= 1
         total += histogram.get(least, 0)
-    rows = short.where(F.col("n") >= (1 << least if least else 0)).select("part", "pieces").toArrow()
+    rows = short.where(F.col("level") >= least).select("part", "pieces").toArrow()
     return dict(zip(rows.column("part").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
 
 
