@@ -14,6 +14,14 @@ def load_nodes(df: DataFrame, key: str, features: list[str], node_type: int = 0)
     return df.select(F.col(key).cast("long").alias("node_id"), feature_array(*features).alias("features"), F.lit(node_type).alias("node_type"))
 
 
+def load_node_ids(nodes: DataFrame, node_type: int | None = None, limit: int | None = None, partitions: int | None = None) -> DataFrame:
+    """(node_id) of one type, or of all; at most ``limit`` of them, the least, and dealt into so many partitions, if asked."""
+    ids = (nodes if node_type is None else nodes.where(F.col("node_type") == node_type)).select("node_id").distinct()
+    if limit is not None:
+        ids = ids.orderBy("node_id").limit(limit)
+    return ids if partitions is None else ids.repartition(partitions, "node_id")
+
+
 def load_edges(df: DataFrame, src: str, dst: str, features: list[str] | None = None, edge_type: int = 0) -> DataFrame:
     """(src, dst, edge_type, features array<float>)."""
     return df.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), F.lit(edge_type).alias("edge_type"), feature_array(*(features or [])).alias("features"))
@@ -54,6 +62,27 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
+def lift(edges: DataFrame, edge_type: tuple[str, str, str] = ("node", "to", "node")) -> DataFrame:
+    """Edges of one kind as typed ones: (src, dst, src_type, relation, dst_type, ...)."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select("src", "dst", *[F.lit(x).alias(c) for c, x in zip(("src_type", "relation", "dst_type"), edge_type, strict=True)], *rest)
+
+
+def lower(edges: DataFrame) -> DataFrame:
+    """Typed edges of a single type as edges of one kind; several types fail the query that reads them."""
+    kind = F.concat_ws("|", "src_type", "relation", "dst_type")
+    one = F.broadcast(edges.agg(F.min(kind).alias("_kind")))  # one row
+    bad = F.raise_error(F.lit("edges of several types are not of one kind")).cast(edges.schema["src"].dataType)
+    met = edges.join(one).withColumn("src", F.when(kind == F.col("_kind"), F.col("src")).otherwise(bad))
+    return met.drop("_kind", "src_type", "relation", "dst_type")
+
+
+def reverse_typed(edges: DataFrame) -> DataFrame:
+    """Typed edges turned round: ends and their types change places, the relation stays."""
+    turned = {"src": "dst", "dst": "src", "src_type": "dst_type", "dst_type": "src_type"}
+    return edges.select(*[F.col(turned.get(c, c)).alias(c) for c in edges.columns])
+
+
 def bidirect(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, one row for each (src, dst); of conflicting rows the one with the least other columns stays."""
     both = edges.unionByName(reverse(edges))
@@ -109,6 +138,14 @@ def degrees(edges: DataFrame, direction: str = "both", most: int | None = None)
     return rows.groupBy("node_id").agg(n.alias("degree"))
 
 
+def degrees_by_type(edges: DataFrame, direction: str = "in", most: int = (1 << 31) - 1) -> DataFrame:
+    """(node_id, node_type, degree) over typed edges: summed over all edge types that end at (or leave) the node's type, labels left out,
+    clamped."""
+    end = "dst" if direction == "in" else "src"
+    rows = without_relations(edges).groupBy(F.col(end).alias("node_id"), F.col(f"{end}_type").alias("node_type"))
+    return rows.agg(F.least(F.count("*"), F.lit(most)).alias("degree"))
+
+
 def adjacency(edges: DataFrame, by: str = "dst") -> DataFrame:
     """(by, neighbors): sorted lists of the other ends, one for each node."""
     other = "src" if by == "dst" else "dst"

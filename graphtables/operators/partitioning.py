@@ -37,6 +37,34 @@ def edges_by_owner(edges: DataFrame, owners: DataFrame, end: str = "dst") -> Dat
     return edges.join(owners.select(F.col("node_id").alias(end), "rank"), end)
 
 
+def ids_on_rank(owners: DataFrame, rank: int) -> DataFrame:
+    """(node_id) that a rank owns, of (node_id, rank)."""
+    return owners.where(F.col("rank") == rank).select("node_id")
+
+
+def ids_per_rank(owners: DataFrame) -> DataFrame:
+    """(rank, n): how many ids each rank owns."""
+    return owners.groupBy("rank").agg(F.count("*").alias("n"))
+
+
+def ids_of_split(split: DataFrame, name: str, nodes: DataFrame | None = None, node_type: int | None = None) -> DataFrame:
+    """(node_id) of a split (node_id, split), of one type of ``nodes`` if asked."""
+    ids = split.where(F.col("split") == name).select("node_id")
+    return ids if nodes is None else ids.join(nodes.where(F.col("node_type") == node_type).select("node_id"), "node_id", "left_semi")
+
+
+def anchors_of_split(split: DataFrame, name: str, positive: DataFrame, negative: DataFrame | None = None) -> DataFrame:
+    """(node_id, positive, negative): the anchors of a split with the sorted ends of their label edges (src, dst); none as empty arrays."""
+    out = ids_of_split(split, name)
+    for column, labels in (("positive", positive), ("negative", negative)):
+        if labels is None:
+            out = out.withColumn(column, F.array().cast("array<bigint>"))
+            continue
+        ends = labels.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("_ends"))
+        out = out.join(ends, "node_id", "left").withColumn(column, F.coalesce("_ends", F.array().cast("array<bigint>"))).drop("_ends")
+    return out
+
+
 def contiguous_shard(total: int, shard: int, shards: int) -> tuple[int, int]:
     """(first, end) of a shard of numbered rows; the last takes the remainder."""
     size = total // shards

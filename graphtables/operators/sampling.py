@@ -50,6 +50,11 @@ def permute(items: Column | str, key: Column | str, salt: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda p: p["x"])
 
 
+def permute_anew(items: Column | str, seed: int | None = None) -> Column:
+    """The array in a random order, another one each time unless there is a seed."""
+    return F.shuffle(F.col(items) if isinstance(items, str) else items, seed)
+
+
 def downsample(nodes: DataFrame, n: int, salt: str = "downsample") -> DataFrame:
     """n rows at random, by hash: a distributed top-n, no full sort."""
     return nodes.orderBy(rank_key(salt, "node_id"), "node_id").limit(n)
@@ -256,6 +261,16 @@ def run_plan(roots: DataFrame, edges: DataFrame, ops: list[SamplingOp], root_typ
     return union_of(out)
 
 
+def plan_positives(positives: DataFrame, edges: DataFrame, ops: list[SamplingOp], root_type: str, positive_type: str) -> DataFrame:
+    """(root, positive, op, src, dst, relation): the plan run from each distinct positive end of (root, dst), for each anchor that has it.
+
+    Positive ends have to be of the plan's root type."""
+    if positive_type != root_type:
+        raise ValueError(f"the plan starts at a {root_type}, positives are of type {positive_type}")
+    found = run_plan(positives.select(F.col("dst").alias("node_id")).distinct(), edges, ops, root_type).withColumnRenamed("root", "positive")
+    return positives.select("root", F.col("dst").alias("positive")).distinct().join(found, "positive").select("root", "positive", "op", "src", "dst", "relation")
+
+
 def union_of(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -255,6 +255,24 @@ def in_degrees_clamped(spark, d):
     return E.degrees(bought(spark, d), "in", 20).withColumn("degree", F.col("degree").cast("long"))
 
 
+@query(f"WITH {TYPED} SELECT dst AS node_id, dst_type AS node_type, least(count(*), 30)::BIGINT AS degree FROM t GROUP BY 1, 2")
+def degrees_by_type(spark, d):
+    """Over all types of edges, but for labels."""
+    labels = E.load_typed_edges(typed_parts(spark, d), "positive").withColumn("relation", F.lit("buys_positive_label"))
+    return E.degrees_by_type(E.load_typed_edges(typed_parts(spark, d)).unionByName(labels), most=30).withColumn("degree", F.col("degree").cast("long"))
+
+
+@query(f"SELECT l_partkey AS src, o_custkey AS dst, 'part' AS src_type, 'buys' AS relation, 'customer' AS dst_type FROM (SELECT DISTINCT l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+def reversed_types(spark, d):
+    own = typed_parts(spark, d)[("customer", "buys", "part"), "main"].select("src", "dst")
+    return E.reverse_typed(E.lift(own, ("customer", "buys", "part")))
+
+
+@query("SELECT DISTINCT c_custkey AS node_id FROM customer ORDER BY 1 LIMIT 40")
+def load_node_ids(spark, d):
+    return E.load_node_ids(nodes(spark, d), 0, 40, 3)
+
+
 @query(f"WITH e AS ({BOUGHT}) SELECT dst, array_to_string(list(src ORDER BY src), ',') AS neighbors FROM e GROUP BY 1")
 def adjacency(spark, d):
     return E.adjacency(bought(spark, d)).select("dst", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
@@ -292,6 +310,7 @@ def drawn_sql(paths: str, node: str, by: str, n: int, salt: str, nb: str = "nb")
     return f"SELECT {', '.join('x.' + c for c in by.split(', '))}, q.nxt FROM ({at}) x JOIN {nb} q ON q.node_id = x.{node} AND q.place = (s + i * x.degree // m) % x.degree"
 
 
+DRAWN_POSITIVES = "SELECT src AS root, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5(concat_ws('|', 'positive', src, dst)), dst) AS r FROM e) WHERE r <= 3"
 HOP1 = f"nb AS ({numbered_sql('b', 'hop1')})" + ", h1 AS (SELECT node_id AS root, nxt AS hop1 FROM nb WHERE place < {n})"
 HOP2 = f"h2 AS (SELECT root, hop1, nxt AS hop2 FROM ({drawn_sql('h1', 'hop1', 'root, hop1', 3, 'hop2')}))"
 
@@ -435,6 +454,17 @@ def sampling_plan(spark, d):
     return sampling.run_plan(roots, typed_edges(spark, d), ops, "customer")
 
 
+@query(
+    f"WITH e AS ({BOUGHT}), q AS ({DRAWN_POSITIVES}), a AS (SELECT positive, dst AS nxt FROM (SELECT positive, x.src AS dst, row_number() OVER (PARTITION BY positive ORDER BY weight DESC, x.src) AS r FROM (SELECT DISTINCT dst AS positive FROM q) JOIN e x ON x.dst = positive) WHERE r <= 2) "
+    "SELECT root, positive, 'buyers' AS op, nxt AS src, positive AS dst, 'buys' AS relation FROM (SELECT root, dst AS positive FROM q) JOIN a USING (positive)"
+)
+def plan_of_positives(spark, d):
+    """What customers buy most, and who buys that most."""
+    positives = subgraphs.positive_edges(bought(spark, d), 3)
+    ops = [sampling.SamplingOp("buyers", ("customer", "buys", "part"), 2, method="top_k")]
+    return sampling.plan_positives(positives, typed_edges(spark, d), ops, "part", "part")
+
+
 @query(
     f"WITH e AS ({BOUGHT}), u AS ({numbered_sql('e', 'bought_by', 'src', 'dst')}), v AS ({numbered_sql('e', 'buys')}), a AS (SELECT root, nxt AS hop1 FROM ({drawn_sql('(SELECT c_custkey AS root FROM customer)', 'root', 'root', 2, 'bought_by1', 'u')})) "
     f"SELECT root, hop1, nxt AS hop2 FROM ({drawn_sql('a', 'hop1', 'root, hop1', 2, 'buys2', 'v')})"
@@ -755,6 +785,24 @@ def anchor_split(spark, d):
     return splitting.anchor_split(S.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")))
 
 
+@query(
+    f"WITH e AS ({BOUGHT}), h AS (SELECT o_custkey AS node_id, (('0x' || substr(md5(concat_ws('|', 'anchor', o_custkey)), 1, 8))::UBIGINT % 1073741824)::DOUBLE AS h FROM (SELECT DISTINCT o_custkey FROM orders)), s AS (SELECT min(h) AS lo, max(h) AS hi FROM h), "
+    "v AS (SELECT node_id FROM h, s WHERE (h - lo) / (hi - lo) >= 1 - 0.1 - 0.1 AND (h - lo) / (hi - lo) < 1 - 0.1) "
+    "SELECT node_id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = node_id AND n > 1), '') AS positive, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = node_id AND n = 1), '') AS negative FROM v"
+)
+def split_anchors(spark, d):
+    """Anchors of the validation split with their labels."""
+    e = bought(spark, d)
+    split = splitting.anchor_split(S.table(spark, d, "orders").select(F.col("o_custkey").alias("node_id")))
+    out = partitioning.anchors_of_split(split, "VAL", e.where("n > 1"), e.where("n = 1"))
+    return out.select("node_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positive", "negative")])
+
+
+@query("SELECT (('0x' || substr(md5(concat_ws('|', 'rank', c_custkey)), 1, 8))::UBIGINT % 7)::BIGINT AS rank, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def ids_per_rank(spark, d):
+    return partitioning.ids_per_rank(partitioning.hash_partition(S.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id")), 7))
+
+
 @query(f"WITH e AS ({BOUGHT}), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM e) SELECT src, array_to_string(list(dst ORDER BY dst), ',') || repeat(',-1', 5 - count(*)::INTEGER) AS labels FROM r WHERE r <= 5 GROUP BY 1")
 def anchor_labels(spark, d):
     return splitting.labels_per_anchor(bought(spark, d), 5, 5).select("src", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))

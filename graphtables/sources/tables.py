@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import feature_array
+from ..operators.partitioning import shard_files
 
 
 def read(spark: SparkSession, uri: str, kind: str = "parquet", glob: str | None = None, schema=None, **options) -> DataFrame:
@@ -21,8 +22,12 @@ def read(spark: SparkSession, uri: str, kind: str = "parquet", glob: str | None
     return (reader.schema(schema) if schema else reader).load(uri)
 
 
-def write(df: DataFrame, uri: str, kind: str = "parquet", mode: str = "overwrite", rows_per_file: int | None = None, files: int | None = None, by: list[str] | None = None) -> None:
-    """Rows to files; their number or size may be bounded, and folders made by columns."""
+def write(df: DataFrame, uri: str, kind: str = "parquet", mode: str = "overwrite", rows_per_file: int | None = None, files: int | None = None, by: list[str] | None = None, bytes_per_file: int | None = None) -> None:
+    """Rows to files; their number or size may be bounded, and folders made by columns. ``bytes_per_file`` bounds the rows by their mean
+    length as JSON, which costs a pass over them."""
+    if bytes_per_file:
+        mean = df.agg(F.avg(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 1.0
+        rows_per_file = min(rows_per_file or 1 << 62, max(1, int(bytes_per_file / mean)))
     if files:
         df = df.repartition(files)
     writer = df.write.mode(mode)
@@ -31,6 +36,25 @@ def write(df: DataFrame, uri: str, kind: str = "parquet", mode: str = "overwrite
     (writer.partitionBy(*by) if by else writer).format(kind).save(uri)
 
 
+def files_below(spark: SparkSession, uri: str) -> list[str]:
+    """The data files of a folder, sorted, asked of the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.getName()[0] not in "._":
+            out.append(file.toString())
+    return sorted(out)
+
+
+def read_rank(spark: SparkSession, uri: str, rank: int, ranks: int, kind: str = "parquet") -> DataFrame:
+    """The files of one rank: sorted files cut contiguously, sizes differ by one at most. A rank without files gets no rows."""
+    own = shard_files(files_below(spark, uri), rank, ranks)
+    whole = read(spark, uri, kind)
+    return spark.read.schema(whole.schema).format(kind).load(own) if own else whole.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, f"{sf_dir}/{name}.parquet")
 

@@ -535,3 +535,29 @@ def test_catalog_and_files(spark, tmp_path):
     assert S.features_and_label(spark.createDataFrame([(1, 2, 3)], "a int, b int, y int"), ["a", "b"], ["y"]).first() == ([1.0, 2.0], [3.0])
     assert {k: v.count() for k, v in S.by_clauses(df, {"low": "k < 2", "high": "k >= 2"}).items()} == {"low": 2, "high": 3}
     assert S.post_process(df, lambda x: x.limit(2), lambda x: x.limit(1)).count() == 1
+
+
+def test_types_ranks_and_orders(spark, tmp_path):
+    e = spark.createDataFrame([(1, 2), (3, 2)], "src long, dst long")
+    typed = E.lift(e, ("a", "to", "b"))
+    assert sorted(map(tuple, E.lower(typed).collect())) == [(1, 2), (3, 2)] and E.reverse_typed(typed).first()[:5] == (2, 1, "b", "to", "a")
+    with pytest.raises(Exception, match="several types"):
+        E.lower(typed.unionByName(E.reverse_typed(typed))).collect()
+    labels = typed.withColumn("relation", F.lit("to_positive_label"))
+    assert [tuple(r) for r in E.degrees_by_type(typed.unionByName(labels)).collect()] == [(2, "b", 2)]
+    owners = partitioning.hash_partition(spark.range(50).withColumnRenamed("id", "node_id"), 4)
+    n = {r["rank"]: r.n for r in partitioning.ids_per_rank(owners).collect()}
+    assert sum(n.values()) == 50 and all(partitioning.ids_on_rank(owners, i).count() == k for i, k in n.items())
+    split = spark.createDataFrame([(1, "VAL"), (2, "VAL"), (3, "TEST")], "node_id long, split string")
+    kinds = spark.createDataFrame([(1, 0), (2, 1)], "node_id long, node_type int")
+    assert ids(partitioning.ids_of_split(split, "VAL", kinds, 1)) == [2]
+    assert {r.node_id: (r.positive, r.negative) for r in partitioning.anchors_of_split(split, "VAL", e).collect()} == {1: ([2], []), 2: ([], [])}
+    with pytest.raises(ValueError):
+        sampling.plan_positives(e, typed, [], "a", "b")
+    x = spark.range(1).select(F.array(*map(F.lit, range(20))).alias("x")).select(sampling.permute_anew("x", 5).alias("y")).first().y
+    assert sorted(x) == list(range(20)) and x != sorted(x)
+    assert ids(E.load_node_ids(kinds, limit=1)) == [1]
+    S.write(spark.range(1000), f"{tmp_path}/s", files=1, bytes_per_file=2000)
+    files = S.files_below(spark, f"{tmp_path}/s")
+    assert len(files) > 3 and sum(S.read_rank(spark, f"{tmp_path}/s", i, 3).count() for i in range(3)) == 1000
+    assert S.read_rank(spark, f"{tmp_path}/s", 98, 99).count() == 0
