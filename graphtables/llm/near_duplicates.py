@@ -59,12 +59,12 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 class _Words(dict):
-    """Hashes of words, each made once, forgotten when there are too many."""
+    """Hashes of words; those met first, which are the frequent ones, are kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 100_000:
+            self[word] = h
         return h
 
 

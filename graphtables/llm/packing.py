@@ -25,7 +25,7 @@ OPEN_BINS = 1024
 GROUP = 8192
 END = 0
 #: Most pre-tokens whose ids a Python worker keeps.
-CACHE = 100_000
+CACHE = 200_000
 _ids: dict[str, bytes] = {}
 cached(__name__, _ids.clear)
 
@@ -34,13 +34,13 @@ def encode_batch(texts: pa.Array, path: str) -> list[bytes]:
     """The ids of each whole text, little-endian unsigned 32-bit, each distinct pre-token encoded once per worker."""
     encode = codec(path)
     rows, parts, keys = split_batch(texts)
-    if len(_ids) > CACHE:
-        _ids.clear()
     own = []
     for key in keys:
         ids = _ids.get(key)
         if ids is None:
-            ids = _ids[key] = np.array(encode(key), np.uint32).tobytes()
+            ids = np.array(encode(key), np.uint32).tobytes()
+            if len(_ids) < CACHE:  # those met first are the frequent ones
+                _ids[key] = ids
         own.append(ids)
     lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
     flat = np.frombuffer(b"".join(own), np.uint32)

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -145,6 +146,62 @@ def test_mixing(docs, none):
     assert mixing.materialise(docs).columns == docs.columns
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of integers, given with their widths; nulls are left out."""
+    h = 42
+    for v, width in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(width, "little", signed=True), seed=h)
+    return h
+
+
+def test_mixing_takes_the_least_keys(docs):
+    """Every document's taken words by plain loops: exponential keys over quality, whole epochs first, then by key until the budget is met."""
+    by = defaultdict(list)
+    for r in docs.collect():
+        size, n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), None if r.text is None else len(r.text)
+        quality = 0.05 if n is None else 1 / (1 + abs(n / max(size, 1) - 6) / 3)
+        u = (spark_hash((17, 4), (r.doc_id, 8), (n, 4)) % (1 << 52) + 0.5) / (1 << 52)
+        by[r.source].append((-math.log(u) / quality, r.doc_id is not None, r.doc_id or 0, size))
+    got = defaultdict(list)
+    for r in mixing.mix(docs, ranges=8).collect():
+        got[r.source].append((r.doc_id or 0, r["size"], r.taken))
+        target = r.target
+        by[r.source, "target"] = target
+    for source in [s for s in by if not isinstance(s, tuple)]:
+        rows, target = sorted(by[source]), by[source, "target"]
+        whole = sum(x[3] for x in rows)
+        epochs = int(target / whole + 1e-12) if whole else 0
+        left, want = round(target - epochs * whole), []
+        for _, _, doc_id, size in rows:
+            more = max(0, min(size, left))
+            left -= size
+            want.append((doc_id, size, epochs * size + more))
+        assert sorted(want) == sorted(got[source])
+
+
+def test_bins_equal_a_plain_search():
+    """The bitset finds what a scan of all open bins finds."""
+    r = random.Random(2)
+    for most in (1, 3, 20):
+        bins, plain, made = packing.Bins(64, most), [], 0
+        for _ in range(3000):
+            length = r.choice((r.randint(1, 64), r.randint(1, 8)))
+            fits = [x for x in plain if x[0] >= length]
+            if fits:
+                best = [x for x in fits if x[0] == min(y[0] for y in fits)][-1]
+                plain.remove(best)
+                want = best[1], 64 - best[0]
+                free = best[0]
+            else:
+                if len(plain) >= most:
+                    plain.remove([x for x in plain if x[0] == min(y[0] for y in plain)][-1])
+                want, free, made = (made, 0), 64, made + 1
+            if free > length:
+                plain.append((free - length, want[0]))
+            assert bins.put(length) == want
+
+
 def test_fingerprints(docs, none):
     got = defaultdict(list)
     for r in fp.edited_fingerprints(docs).collect():
