@@ -3,8 +3,9 @@
 Patterns find the protected entities (emails, ip addresses, card and phone numbers; and keys and other secrets, as the long runs of
 letters and digits that they are, beside the base kinds). A term discloses an entity as far as knowing the
 term tells of the entity: with counts of documents, PMI(term, entity) = log(N n(t,e) / (n(t) n(e))), against all there is to know of
-the entity, log(N / n(e)). A term of a document that holds an entity whose share of that exceeds a threshold is generalised to a mark
-in all documents, and removed beyond a second one. The joint count is shrunk by the number of different texts it comes from: one text is
+the entity, log(N / n(e)). A term of a document that holds an entity whose share of that exceeds a threshold is generalised to a mark,
+and removed beyond a second one: in all documents that hold entities, and in all others too if it is a name by its form, or more than one
+text shows it beside the entity. (What a single text shows is gone from that text; an ordinary rare word reveals nothing in others.) The joint count is shrunk by the number of different texts it comes from: one text is
 some evidence, so that entities of a single mention have disclosing terms too, and copies of one document are no more than that.
 
 DataFrame and SQL functions only. Scale: patterns run in the scan; texts travel once, to their flagged terms. Only terms rare enough to
@@ -39,6 +40,8 @@ _NEEDS = ("@", "[0-9]\\.[0-9]++\\.[0-9]", "[0-9][\\x20-]?[0-9]", "\\+[0-9]")
 SECRETS = r"(?<![A-Za-z0-9_-])(?=(?:(?:[0-9_-]++|[A-Za-z]++(?![0-9]))*+[A-Za-z]++[0-9]){3})[A-Za-z0-9_-]{20,}+"
 MARKS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[SECRET]", "[TERM]")
 _WORD = r"\p{L}++"
+#: Names by their form: capitalised words inside a sentence or before another such word, and words of scripts without capitals.
+_NAME = r"(?<=[^.!?\s]\s)\p{Lu}\p{Ll}++|\p{Lu}\p{Ll}++(?=\s\p{Lu}\p{Ll})|\p{Lo}++"
 
 #: Texts' worth that a joint count loses: of s different texts, (s - DISCOUNT) / s of the count is believed.
 DISCOUNT = 0.5
@@ -111,17 +114,18 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def words(text: Column) -> Column:
+def words(text: Column, pattern: str = _WORD) -> Column:
     """The distinct words of a text, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
 
 def holders(seen: DataFrame) -> DataFrame:
-    """(text_key, n, entities, terms): each different text with entities, how many documents have it, what it names and its words."""
+    """(text_key, n, entities, terms, names): each different text with entities, how many documents have it, what it names, its words, and
+    those of them that are names by their form."""
     rows = seen.where(F.size("named") > 0)
     entities = F.array_distinct(F.transform("named", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["value"]))))
-    rows = rows.select(F.md5("text").alias("text_key"), entities.alias("entities"), words(F.col("text")).alias("terms"))
-    return rows.groupBy("text_key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    rows = rows.select(F.md5("text").alias("text_key"), entities.alias("entities"), words(F.col("text")).alias("terms"), words(F.col("text"), _NAME).alias("names"))
+    return rows.groupBy("text_key").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("entities", "terms", "names")])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -142,7 +146,8 @@ def common_hashes(counts: DataFrame, flagged: DataFrame, most: int) -> DataFrame
 
 
 def disclosing(total: float, counts: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
-    """(term, share): terms whose greatest share of an entity's information, by shrunk counts, exceeds the threshold.
+    """(term, share, wide): terms whose greatest share of an entity's information, by shrunk counts, exceeds the threshold; ``wide`` ones hold
+    in all documents.
 
     As a joint count is at most the entity's, a share can exceed it only where n(t) <= N^(1 - threshold) n(e)^threshold; other pairs are
     not made. Entities that only one text names all have the same counts with its terms, and stand as one."""
@@ -151,21 +156,24 @@ def disclosing(total: float, counts: DataFrame, held: DataFrame, settings: Setti
     per_entity = per_entity.where(F.col("n_e") < total).withColumn("most", F.pow(F.lit(total), 1 - settings.generalise) * F.pow("n_e", F.lit(settings.generalise)))
     entity = F.when(F.col("texts") > 1, F.col("entity")).otherwise(F.col("text_key"))
     met = staged(named.join(per_entity, "entity").select("text_key", "n", entity.alias("entity"), "n_e", "most").distinct(), "pii")
-    rare = held.select("text_key", F.explode("terms").alias("term")).join(counts, "term").join(met.groupBy("text_key").agg(F.max("most").alias("upto")), "text_key")
-    pairs = rare.where(F.col("n_t") <= F.col("upto")).select("text_key", "term", "n_t").join(met, "text_key").where(F.col("n_t") <= F.col("most"))
-    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    each = F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), F.array_contains("names", t).alias("name"))))
+    rare = held.select("text_key", each.alias("x")).select("text_key", "x.term", "x.name").join(counts, "term").join(met.groupBy("text_key").agg(F.max("most").alias("upto")), "text_key")
+    pairs = rare.where(F.col("n_t") <= F.col("upto")).select("text_key", "term", "name", "n_t").join(met, "text_key").where(F.col("n_t") <= F.col("most"))
+    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"), F.max("name").alias("name"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     together = F.least("n_te", "n_t", "n_e") * (1 - settings.discount / F.col("support"))
     share = F.log(F.lit(total) * together / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(total) / F.col("n_e"))
-    return joint.select("term", share.alias("share")).where(F.col("share") >= settings.generalise).groupBy("term").agg(F.max("share").alias("share"))
+    wide = F.col("name") | (F.col("support") > 1)
+    found = joint.select("term", share.alias("share"), wide.alias("wide")).where(F.col("share") >= settings.generalise)
+    return found.groupBy("term").agg(F.max("share").alias("share"), F.max("wide").alias("wide"))
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``base`` (spans of the base patterns), ``named`` (those and the secrets'), ``spans`` (those and the terms', by start,
     then kind) and ``removed`` (terms to leave out).
 
-    Null texts count as empty and have no spans; a document without entities gets the terms' alone; repeated rows are treated alike; an
+    Null texts count as empty and have no spans; a document without entities gets the wide terms' alone; repeated rows are treated alike; an
     empty table stays empty; equal shares need no order. Columns of these names in ``docs`` are replaced, other columns stay."""
-    docs = docs.drop("base", "named", "spans", "removed", "_terms", "_removed", "_key", "_at")
+    docs = docs.drop("base", "named", "spans", "removed", "_terms", "_wide", "_removed", "_key", "_at")
     text, none = F.col("text"), F.array().cast("array<string>")
     seen = docs.withColumn("base", base_spans(text)).withColumn("named", F.array_sort(F.concat("base", secret_spans(text, F.col("base")))))
     with temporary(docs.sparkSession) as keep:
@@ -176,15 +184,16 @@ def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         # keys and words stand before the explode, else they would be made once a word
         rows = docs.select(F.xxhash64("text").alias("_key"), words(text).alias("_words")).select("_key", F.explode("_words").alias("term"))
         rows = rows.withColumn("_hash", F.xxhash64("term")).join(F.broadcast(often), "_hash", "left_anti").drop("_hash").join(flagged, "term")
-        marked = F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")
+        marked = F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("wide"), F.col("term"))).alias("_wide"), F.collect_set(F.when(F.col("share") >= settings.remove, F.col("term"))).alias("_removed")
         by_text = staged(rows.groupBy("_key").agg(*marked), "pii")
         keep(by_text)
     # texts of one key would share their lists, which name flagged terms only; a text without words needs no list and goes anywhere
     key = F.when(text.rlike(_WORD), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
     met = seen.withColumn("_at", key).join(by_text, F.col("_at") == F.col("_key"), "left").drop("_key", "_at")
+    met = met.withColumn("_terms", F.when(F.size("named") > 0, F.col("_terms")).otherwise(F.col("_wide")))
     own = _clear(matches(text, _WORD, TERM, lambda m: F.array_contains(F.col("_terms"), F.lower(m))), F.col("named"))
-    spans = F.when(F.col("_terms").isNull(), F.col("named")).otherwise(F.array_sort(F.concat("named", own)))
-    return met.withColumn("spans", spans).withColumn("removed", F.coalesce("_removed", none)).drop("_terms", "_removed")
+    spans = F.when(F.coalesce(F.size("_terms"), F.lit(0)) > 0, F.array_sort(F.concat("named", own))).otherwise(F.col("named"))
+    return met.withColumn("spans", spans).withColumn("removed", F.coalesce("_removed", none)).drop("_terms", "_wide", "_removed")
 
 
 def sanitised(text: str = "text") -> Column:

@@ -414,7 +414,7 @@ def test_pii_terms_in_all_documents(spark, common):
 
 
 def plain_terms(texts, settings=pii.Settings()):
-    """Flagged terms with their greatest share, by plain loops."""
+    """Flagged terms with their greatest share, and whether more than one text shows them, by plain loops (no word is a name by its form)."""
     n = len(texts)
     words = [{w.lower() for w in re.findall(r"[^\W\d_]+", t or "")} for t in texts]
     named = [{f"{k}:{m[0].lower()}" for k, p in ((0, r"[a-z]+@[a-z]+\.[a-z]+"), (1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")) for m in re.finditer(p, t or "")} for t in texts]
@@ -428,7 +428,8 @@ def plain_terms(texts, settings=pii.Settings()):
             together = min(len(both), n_t, len(with_e)) * (1 - settings.discount / len({texts[i] for i in both}))
             share = np.log(n * together / (n_t * len(with_e))) / np.log(n / len(with_e))
             if share >= settings.generalise:
-                out[w] = max(share, out.get(w, share))
+                old = out.get(w, (share, False))
+                out[w] = max(share, old[0]), old[1] or len({texts[i] for i in both}) > 1
     return out
 
 
@@ -443,13 +444,14 @@ def test_pii_shares_equal_plain_counts(spark):
         texts.append(t + (f" 10.0.0.{r.randrange(6)} " if r.random() < 0.1 else ""))
     texts += texts[:40] + texts[:3] * 4 + [None, ""]
     flagged = plain_terms(texts)
-    assert len(flagged) > 20 and any(x >= pii.REMOVE for x in flagged.values()) and any(x < pii.REMOVE for x in flagged.values())
+    shares = [x for x, _ in flagged.values()]
+    assert len(flagged) > 20 and max(shares) >= pii.REMOVE > min(shares) and {x for _, x in flagged.values()} == {True, False}
     for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
         t = r.text or ""
         held = [(m.start(), m.end()) for m in re.finditer(r"\S*[@.]\S*", t)]
-        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in flagged and not any(a < m.end() and m.start() < b for a, b in held)]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in flagged and (held or flagged[m[0].lower()][1]) and not any(a < m.end() and m.start() < b for a, b in held)]
         assert [(x.start, x.end) for x in r.spans if x.k == pii.TERM] == want
-        assert {w for w in r.removed} == {w for w in map(str.lower, re.findall(r"[^\W\d_]+", t)) if flagged.get(w, 0) >= pii.REMOVE}
+        assert {w for w in r.removed} == {w for w in map(str.lower, re.findall(r"[^\W\d_]+", t)) if flagged.get(w, (0, 0))[0] >= pii.REMOVE}
 
 
 def test_pii_secrets(spark):
