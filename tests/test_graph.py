@@ -561,3 +561,15 @@ def test_types_ranks_and_orders(spark, tmp_path):
     files = S.files_below(spark, f"{tmp_path}/s")
     assert len(files) > 3 and sum(S.read_rank(spark, f"{tmp_path}/s", i, 3).count() for i in range(3)) == 1000
     assert S.read_rank(spark, f"{tmp_path}/s", 98, 99).count() == 0
+
+
+def test_user_sampling_and_fractions(spark):
+    e = E.lift(spark.createDataFrame([(i, i % 2) for i in range(10)], "src long, dst long"), ("a", "to", "a")).withColumn("weight", F.lit(1.0))
+    roots = spark.createDataFrame([(0,), (1,)], "node_id long")
+    op = sampling.SamplingOp("own", ("a", "to", "a"), 3, method="user", choose=lambda met: met.where("next > 5"))
+    assert {(r.root, r.src, r.dst) for r in sampling.run_plan(roots, e, [op], "a").collect()} == {(0, 6, 0), (0, 8, 0), (1, 7, 1), (1, 9, 1)}
+    with pytest.raises(ValueError):
+        sampling.run_plan(roots, e, [sampling.SamplingOp("own", ("a", "to", "a"), 3, method="none")], "a")
+    rows = spark.range(1000)
+    kept, others = (ids(sampling.keep_fraction(rows, 0.3, "id", legacy_inverted=x), "id") for x in (False, True))
+    assert sorted(kept + others) == list(range(1000)) and 250 < len(kept) < 350 and ids(sampling.keep_fraction(rows, 1.0, "id", legacy_inverted=True), "id") == list(range(1000))
