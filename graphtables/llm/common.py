@@ -122,8 +122,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the record batches that Spark hands to Python, at most; a smaller setting of the session stays.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Bound the batches in the session, so that neither the JVM nor Python holds tens of megabytes of texts for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` for a function that yields dicts of columns (arrays or lists) instead of record batches."""
+    _bound_batches(df.sparkSession)
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = kind.names
     module = function.__module__

@@ -25,7 +25,7 @@ OPEN_BINS = 1024
 GROUP = 8192
 END = 0
 #: Most pre-tokens whose ids a Python worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 _ids: dict[str, bytes] = {}
 cached(__name__, _ids.clear)
 

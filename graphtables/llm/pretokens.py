@@ -68,22 +68,24 @@ def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str):
-    """Encoder of single pre-tokens to arrays of ids, made once per Python worker from the library's vocabulary file."""
+    """Encoder of single pre-tokens to arrays of ids, made once per Python worker from the library's vocabulary file; the library's own
+    tokenizer only where a pre-token needs it."""
+    import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer_path(path))
-    special = {SPECIAL: whole.token_to_id(SPECIAL)} if whole.token_to_id(SPECIAL) is not None else {}
     plain = tokenizer_path(path.replace(".json", ".tiktoken"))
     with open(plain, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    import public_tokenizers
-
-    fast = tiktoken.Encoding("pretokens", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    fast = tiktoken.Encoding("pretokens", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = []
 
     def encode(part: str) -> list[int]:
         if part == SPECIAL or not _PLAIN.fullmatch(part):
-            return whole.encode(part, add_special_tokens=False).ids
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(tokenizer_path(path)))
+            return whole[0].encode(part, add_special_tokens=False).ids
         return fast.encode_ordinary(part)
 
     return encode
