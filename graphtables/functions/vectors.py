@@ -10,6 +10,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(x: Column, then) -> Column:
+    """``then(x)``, with x worked out once however often it is used."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -33,7 +38,7 @@ SIMILARITIES = {"dot": dot, "cosine": cosine, "euclidean": negative_squared_dist
 def l2_normalize(a: Column | str) -> Column:
     """The vector over its length, which is worked out once; zero vectors stay."""
     a = _col(a)
-    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(1e-12))), lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
+    return _let(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def translate(a: Column | str, r: Column | str) -> Column:
@@ -89,29 +94,35 @@ def codes(features: Column | str, bits: int, low: Column | float, high: Column |
 
 def pack(code: Column | str, bits: int) -> Column:
     """Codes packed to bytes, the first in the high bits, zeros filled in on the right."""
-    code, per = _col(code), 8 // bits
-    count = F.ceil(F.size(code) / per).cast("int")
+    per = 8 // bits
 
-    def byte(i: Column) -> Column:
-        out = F.lit(0)
-        for k in range(per):
-            at = i * per + k
-            out = out + F.when(at < F.size(code), F.get(code, at)).otherwise(0) * (1 << (8 - bits * (k + 1)))
-        return F.lpad(F.hex(out), 2, "0")
+    def packed(code: Column) -> Column:
+        def byte(i: Column) -> Column:
+            out = F.lit(0)
+            for k in range(per):
+                at = i * per + k
+                out = out + F.when(at < F.size(code), F.get(code, at)).otherwise(0) * (1 << (8 - bits * (k + 1)))
+            return F.lpad(F.hex(out), 2, "0")
 
-    hexes = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), byte)).otherwise(F.array().cast("array<string>"))
-    return F.unhex(F.array_join(hexes, ""))
+        count = F.ceil(F.size(code) / per).cast("int")
+        hexes = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), byte)).otherwise(F.array().cast("array<string>"))
+        return F.unhex(F.array_join(hexes, ""))
+
+    return _let(_col(code), packed)
 
 
 def unpack(packed: Column | str, bits: int, n: int) -> Column:
     """The first n codes of packed bytes."""
-    text, per = F.hex(_col(packed)), 8 // bits
+    per = 8 // bits
+
+    def codes_of(text: Column) -> Column:
+        def code(i: Column) -> Column:
+            byte = F.conv(F.substring(text, (F.floor(i / per) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+            return F.floor(byte / F.pow(F.lit(2.0), 8 - bits * (i % per + 1))).cast("int") % (1 << bits)
 
-    def code(i: Column) -> Column:
-        byte = F.conv(F.substring(text, (F.floor(i / per) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        return F.floor(byte / F.pow(F.lit(2.0), 8 - bits * (i % per + 1))).cast("int") % (1 << bits)
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), code)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), code)
+    return _let(F.hex(_col(packed)), codes_of)
 
 
 def dequantize(code: Column | str, bits: int, low: float, high: float) -> Column:
