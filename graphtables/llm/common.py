@@ -93,6 +93,8 @@ def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
 #: What modules keep in a Python worker from task to task, by module.
 _caches: dict[str, Callable[[], None]] = {}
 _turn: list[str] = [""]
+#: Fixed value: M_MMAP_THRESHOLD of the C library.
+_MMAP_THRESHOLD = -3
 
 
 def cached(module: str, clear: Callable[[], None]) -> None:
@@ -103,6 +105,10 @@ def cached(module: str, clear: Callable[[], None]) -> None:
 def _turn_to(module: str) -> None:
     if _turn[0] == module:
         return
+    if not _turn[0]:  # a new worker: large buffers go back to the system as soon as they are free
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, 1 << 20)
     _turn[0] = module
     for name, clear in _caches.items():
         if name != module:

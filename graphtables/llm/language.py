@@ -79,7 +79,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     total: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for whole in batches:
-        for batch in slices(whole, "text", most_bytes=2 << 20):
+        for batch in slices(whole, "text", most_bytes=1 << 19):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, text, most_bytes=2 << 20):
+            for batch in slices(whole, text, most_bytes=1 << 19):
                 texts = texts_of(batch, text)
                 which = [i for i, x in enumerate(texts) if model.languages and _LETTER.search(x)]
                 langs, scores, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)

@@ -59,7 +59,7 @@ def pieces(tokenizer: str, sequence: int, end: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for whole in batches:
-            for batch in slices(whole, "text", most_bytes=2 << 20):
+            for batch in slices(whole, "text", most_bytes=1 << 20):
                 out: dict[str, list] = {x: [] for x in ("doc_id", "piece", "start", "length", "ids_crc32")}
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_batch(batch.column("text"), tokenizer), strict=True):
                     ids += last
