@@ -9,6 +9,9 @@ or words."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's labels teach; texts without letters, and those of no such language, go.
 
     The posterior only chooses among the learned languages; a text must also be about as likely in the chosen one as its labelled texts.
+    How many texts a language has says nothing of a single one here: all languages are equally likely beforehand.
 
     Without any label nothing can be judged, and all stay. A missing lang is filled with the predicted one. Repeated rows share their fate."""
     model = train(docs)
@@ -34,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     names = [f"_pipeline_{x}" for x in ("lang", "sure", "fit")]
     lang, sure, fit = map(F.col, names)
+    model = replace(model, prior=np.zeros(len(model.languages)))
     judged = identify(docs, model, out=names[0], score=names[1], fit=names[2]).where((lang != UNKNOWN) & (sure >= SURE) & fit)
     return judged.withColumn("lang", F.coalesce("lang", lang)).select(*[F.col(f"`{x}`") for x in docs.columns])
 

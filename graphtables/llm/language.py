@@ -1,13 +1,15 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training reads a bounded sample of labelled rows (about ``per_language`` each, those with small hashes of their id and text);
-the counts become one log-probability matrix of fixed size, broadcast to the executors, where numpy scores whole texts in batches:
-the n-grams of a batch are hashed at once, their rows of the matrix gathered and summed per text.
+Training counts the n-grams of all labelled texts; the counts become one log-probability matrix of fixed size, broadcast to the
+executors, where numpy scores whole texts in batches: the n-grams of a batch are hashed at once, their rows of the matrix gathered and
+summed per text. The bounds of what fits a language come from all pieces of all labelled texts, in a second pass.
 
-Scale: training data and matrix don't grow with the corpus; scoring is one map over the table, without a shuffle."""
+Scale: both passes are maps whose tasks give counts of fixed size a language, summed by key; scoring is one map over the table, without a
+shuffle."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -21,20 +23,21 @@ from .common import arrow_map, mix64, only, slices, texts_of, widened
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Labelled rows of each language that training reads at most.
-PER_LANGUAGE = 2000
+#: Buckets whose counts travel in one row; languages whose counts a task holds before it gives them out.
+BLOCK, HELD = 1 << 11, 64
 #: n-grams that a text's evidence counts as at most in its score, so that this stays a confidence, however long the text. The prediction
 #: itself comes from the plain sum over all n-grams and the prior.
 EVIDENCE = 40.0
 UNKNOWN = "und"
-#: Texts of each language, about, that the bounds of its evidence are fitted on; code points of each that are read.
-FITTED, FITTED_CHARS = 400, 2048
+#: Steps of a nat that pieces' evidence is told in; parts of a nat that it is summed in.
+STEPS, FIXED = 1 << 8, 1 << 20
 #: Code points of the pieces that bounds are fitted for; between them bounds are interpolated, beyond them they stay.
 PIECES = (2, 4, 8, 16, 32, 64, 128, 256, 512)
 #: How many times as far below the median as the lowest hundredth of pieces a text's evidence may be.
 REACH = 2.5
 #: The bound is at least this far below the median (nats an n-gram), however alike the labelled texts are.
 MARGIN = 1.5
+_FACTOR = np.uint64(0x100000001B3)
 _LETTER = regex.compile(r"\p{L}")
 _DIGITS = regex.compile(r"[^\s\p{N}]*+\p{N}\S*+")
 _BLANKS = regex.compile(r"\s+")
@@ -62,7 +65,7 @@ def _grams(texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BU
     out, begins = [], []
     key = np.zeros(len(codes), np.uint64)
     for n in range(1, max(orders) + 1):
-        key = key[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(1)
+        key = key[: len(codes) - n + 1] * _FACTOR + codes[n - 1 :] + np.uint64(1)
         if n not in orders:
             continue
         inside = np.ones(len(key), bool)
@@ -88,57 +91,148 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
                 for hashed in _grams(texts)[0]:
                     own += np.bincount(hashed, minlength=BUCKETS)
                 rows[lang] = rows.get(lang, 0) + len(texts)
-    yield {"lang": list(total), "rows": [rows[x] for x in total], "counts": [x.tobytes() for x in total.values()]}
+                if len(total) >= HELD:
+                    yield from _blocks(total, rows)
+                    total, rows = {}, {}
+    yield from _blocks(total, rows)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.05) -> LanguageModel:
-    """Fit on (text, lang) rows. Rows without text or lang teach nothing; with no row left, every prediction is unknown."""
+def _blocks(total: dict[str, np.ndarray], rows: dict[str, int]) -> Iterator[dict]:
+    """Each language's counts, in blocks of buckets; its rows are told with the first."""
+    for lang, counts in total.items():
+        for block, x in enumerate(counts.reshape(-1, BLOCK)):
+            yield {"lang": [lang], "block": [block], "rows": [0 if block else rows[lang]], "counts": [x.tobytes()]}
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    total: dict[tuple[str, int], np.ndarray] = {}
+    rows: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        for lang, block, n, counts in zip(*(batch.column(x).to_pylist() for x in ("lang", "block", "rows", "counts")), strict=True):
+            key = lang, block
+            total[key] = total.get(key, 0) + np.frombuffer(counts, np.int64)
+            rows[key] = rows.get(key, 0) + n
+    for (lang, block), x in total.items():
+        yield {"lang": [lang], "block": [block], "rows": [rows[lang, block]], "counts": [x.tobytes()]}
+
+
+def train(labelled: DataFrame, per_language: int | None = None, smoothing: float = 0.05, bounded: bool = True) -> LanguageModel:
+    """Fit on all (text, lang) rows, or with ``per_language`` on about so many of each language, those with small hashes of their id and
+    text. Rows without text or lang teach nothing; with no row left, every prediction is unknown. ``bounded``: with the bounds that
+    ``identify`` needs for its column ``fit``."""
     rows = only(labelled, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
-    counted = arrow_map(rows.where(drawn).select("text", "lang").repartition(8), _counts, "lang string, rows long, counts binary").collect()
+    if per_language is not None:
+        share = F.lit(0.0)
+        for x in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():
+            share = F.when(F.col("lang") == x["lang"], F.lit(min(1.0, per_language / x["n"]))).otherwise(share)
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = rows.select("text", "lang")
+    schema = "lang string, block int, rows long, counts binary"
+    counted = arrow_map(arrow_map(rows, _counts, schema).repartition("lang", "block"), _summed, schema).collect()
     langs = tuple(sorted({x["lang"] for x in counted}))
+    if not langs:
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     counts = np.zeros((BUCKETS, len(langs)))
     seen = np.zeros(len(langs))
     for x in counted:
-        counts[:, langs.index(x["lang"])] += np.frombuffer(x["counts"], np.int64)
+        counts[x["block"] * BLOCK : (x["block"] + 1) * BLOCK, langs.index(x["lang"])] += np.frombuffer(x["counts"], np.int64)
         seen[langs.index(x["lang"])] += x["rows"]
     weights = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=0))
     model = LanguageModel(langs, weights.astype(np.float32), np.log((seen + 1) / (seen + 1).sum()))
-    return replace(model, bounds=_bounds(rows, sizes, model))
-
-
-def _bounds(rows: DataFrame, sizes: dict[str, int], model: LanguageModel) -> np.ndarray:
-    """The bounds of each language's evidence, from pieces of a small sample of its texts."""
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, FITTED / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("bounds")), F.lit(1 << 30)) < share * (1 << 30)
-    sample = rows.where(drawn).select("lang", F.substring("text", 1, FITTED_CHARS).alias("text")).limit(2 * FITTED * len(sizes)).collect()
-    out = np.full((len(model.languages), len(PIECES)), -np.inf)
-    for k, lang in enumerate(model.languages):
-        texts = [x["text"] for x in sample if x["lang"] == lang and _LETTER.search(x["text"])]
-        for j, size in enumerate(PIECES):
-            pieces = []
-            for i, x in enumerate(map(_worded, texts)):
-                at = x.find(" ", (i * 7919) % max(1, len(x) - size)) + 1  # a word's begin, where there is one
-                pieces.append(x[at : at + size])
-            pieces = [x for x in pieces if len(x) == size and _LETTER.search(x)]
-            if pieces:
-                own = _totals(model, pieces)
-                evidence = own[0][:, k] / own[1]
-                middle, low = np.quantile(evidence, [0.5, 0.01])
-                out[k, j] = middle - max(MARGIN, REACH * (middle - low))
-            elif j:
-                out[k, j] = out[k, j - 1]
+    return replace(model, bounds=_bounds(rows, model)) if bounded else model
+
+
+def _bounds(rows: DataFrame, model: LanguageModel) -> np.ndarray:
+    """The bounds of each language's evidence, from all pieces of all its texts that begin with a word and hold a letter.
+
+    Pieces are counted by their evidence in whole steps, in integers, so that the quantiles don't depend on how rows are dealt."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, _fixed(model)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        languages, fixed = shared.value
+        number = {x: k for k, x in enumerate(languages)}
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for whole in batches:
+            for batch in slices(whole, "text", most_bytes=1 << 18):
+                which = np.array([number[x] for x in batch.column("lang").to_pylist()])
+                for j, (k, steps) in enumerate(_evidence(fixed, [_worded(x) for x in texts_of(batch)], which)):
+                    for lang in set(which.tolist()):
+                        n = np.bincount(steps[k == lang])
+                        one = held.get((lang, j))
+                        if one is not None and len(one) >= len(n):
+                            one[: len(n)] += n
+                        else:
+                            held[lang, j] = n if one is None else n + np.pad(one, (0, len(n) - len(one)))
+                if len(held) >= HELD * len(PIECES):
+                    yield from told(held)
+                    held = {}
+        yield from told(held)
+
+    def told(held: dict[tuple[int, int], np.ndarray]) -> Iterator[dict]:
+        for (lang, j), n in held.items():
+            some = np.flatnonzero(n)
+            yield {"lang": np.full(len(some), lang), "piece": np.full(len(some), j), "steps": some, "n": n[some]}
+
+    told_by = arrow_map(rows, run, "lang int, piece int, steps int, n long").groupBy("lang", "piece", "steps").agg(F.sum("n").alias("n"))
+    quantiles = told_by.groupBy("lang", "piece").agg(F.percentile("steps", [0.5, 0.99], F.col("n")).alias("at")).collect()
+    out = np.full((len(model.languages), len(PIECES)), np.nan)
+    for x in quantiles:
+        middle, low = -np.array(x["at"]) / STEPS
+        out[x["lang"], x["piece"]] = middle - max(MARGIN, REACH * (middle - low))
+    for j in range(len(PIECES)):
+        none = np.isnan(out[:, j])
+        out[none, j] = out[none, j - 1] if j else -np.inf
     return out
 
 
+def _fixed(model: LanguageModel) -> np.ndarray:
+    """The weights as integers, one language after another."""
+    return np.rint(model.weights.T * FIXED).astype(np.int64).ravel()
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(x).isalpha() for x in range(0x110000)), bool, 0x110000)
+
+
+def _evidence(fixed: np.ndarray, texts: list[str], which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of ``PIECES``, all pieces of it in the texts that begin with a word and hold a letter: the number of the text's
+    language and minus the mean log-probability there of the n-grams of the piece between blanks, in steps.
+
+    A piece's sum is a difference of running sums; only the two n-grams that end with the blank after it are its own."""
+    joined = [f" {x.lower()} " for x in texts]
+    lengths = np.fromiter(map(len, joined), np.int64, len(joined))
+    codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
+    one = codes.astype(np.uint64) + np.uint64(1)
+    last = np.repeat(np.cumsum(lengths) - 1, lengths)  # where the blank after each text stands
+    lang = np.repeat(which, lengths)
+    base = lang * BUCKETS
+
+    def weight(key: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return fixed[base + (mix64(key) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
+
+    def sums(key: np.ndarray) -> np.ndarray:
+        """At i: of all n-grams that begin before i. Those that cross into the next text are in no difference within a text."""
+        return np.concatenate([[0], np.cumsum(weight(key, base[: len(key)])), np.zeros(len(codes) - len(key), np.int64)])
+
+    two = one[:-1] * _FACTOR + one[1:]
+    c1, c2, c3 = sums(one), sums(two), sums(two[:-1] * _FACTOR + one[2:])
+    blank = np.uint64(ord(" ") + 1)
+    at_end = weight(one * _FACTOR + blank, base)
+    at_end[1:] += weight(two * _FACTOR + blank, base[1:])
+    to = c1[:-1].copy()  # at i: sum up to the end of a piece that ends before i
+    to[1:] += c2[:-2] + at_end[:-1]
+    to[2:] += c3[:-3]
+    begins = np.flatnonzero((codes[:-1] == ord(" ")) & (codes[1:] != ord(" "))) + 1
+    of = c1[begins] + c2[begins - 1] + c3[begins - 1] - 2 * weight(np.full(len(begins), blank), base[begins])
+    letters = np.concatenate([[0], np.cumsum(_letters()[codes])])
+    for size in PIECES:
+        own = np.flatnonzero(begins + size <= last[begins])
+        own = own[letters[begins[own] + size] > letters[begins[own]]]
+        total = to[begins[own] + size] - of[own]
+        yield lang[begins[own]], -total * STEPS // ((3 * size + 3) * FIXED)
+
+
 def _worded(text: str) -> str:
     """The text without what holds digits (numbers, keys, hashes), which is of no language; where no letter is left, the whole text."""
     left = _BLANKS.sub(" ", _DIGITS.sub(" ", text)).strip()

@@ -476,6 +476,41 @@ def test_language(spark, docs, none):
     assert {x.lang_pred for x in language.identify(docs, language.train(none)).collect()} == {"und"}
 
 
+def test_language_learns_from_all_labelled_texts(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(1, 3))) + r.choice(["", " 12x", "  ü"]), "aa") for i in range(2600)]
+    rows += [(3000, "ab cd " * 400 + "zz yy xx " * 100, "bb"), (3001, "", "bb"), (3002, "12 34", "bb"), (3003, None, "bb"), (3004, "lost", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language.train(x) for x in (df.repartition(1), df.repartition(5, "text"))]
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].bounds, models[1].bounds)
+    assert language.train(df, bounded=False).bounds is None
+    for k, lang in enumerate(models[0].languages):
+        texts = [t for _, t, x in rows if x == lang and t is not None]
+        counts = sum(np.bincount(x, minlength=language.BUCKETS) for x in language._grams(texts)[0]) + 0.05
+        assert np.allclose(models[0].weights[:, k], np.log(counts / counts.sum()), atol=1e-5)
+        assert np.isclose(models[0].prior[k], math.log((len(texts) + 1) / (2603 + 2)))
+        before = -math.inf
+        for j, size in enumerate(language.PIECES):
+            words = [(t, i) for t in map(language._worded, texts) for i in range(len(t) - size + 1) if t[i] != " " and (i == 0 or t[i - 1] == " ")]
+            pieces = [t[i : i + size] for t, i in words if any(x.isalpha() for x in t[i : i + size])]
+            if pieces:
+                total, n, _ = language._totals(models[0], pieces)
+                middle, low = np.quantile(total[:, k] / n, [0.5, 0.01])
+                before = middle - max(language.MARGIN, language.REACH * (middle - low))
+            assert before == models[0].bounds[k, j] or abs(before - models[0].bounds[k, j]) < 2 * language.REACH / language.STEPS
+
+
+def test_pipeline_keeps_texts_between_a_rare_and_a_frequent_language(spark):
+    r = random.Random(4)
+    stems = {"aa": "ka ti ro mu lo".split(), "bb": "ka ti ro mu le".split()}
+    text = lambda lang, n: " ".join("".join(r.choice(stems[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text("bb" if i % 30 == 0 else "aa", 40), "bb" if i % 30 == 0 else "aa", "s", 0) for i in range(600)]
+    rows += [(1000 + n, f"{text('aa', 40)} {text('bb', n)}", None, "s", 0) for n in range(20, 60, 2)]
+    kept = {x.doc_id: x.lang for x in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept.keys() == {x[0] for x in rows} and {kept[x[0]] for x in rows[600:]} == {"aa", "bb"}
+
+
 def test_language_scores_equal_the_sum_over_grams():
     r = np.random.default_rng(0)
     model = language.LanguageModel(("a", "b"), r.normal(size=(language.BUCKETS, 2)).astype(np.float32), np.array([0.2, -0.1]))
