@@ -1,7 +1,7 @@
 """A corpus made ready for training: five stages, each on all that the one before it kept.
 
 language ID, MinHash near-dedup, PII, mixing sources to target weights, best-fit packing. Each stage's result is written to the shared
-folder as Parquet and read again.
+folder as Parquet and read again. Each begins with a collection of garbage on the executors, whose heaps the stage before it has grown.
 
 In every stage an empty table stays empty, further columns stay (but for the last stage, which returns its own), and a null text counts as
 empty: the first stage drops it, as it holds no letter; given to a later one, it is a document of its own, without shingles, personal data
@@ -33,6 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     How many texts a language has says nothing of a single one here: all languages are equally likely beforehand.
 
     Without any label nothing can be judged, and all stay. A missing lang is filled with the predicted one. Repeated rows share their fate."""
+    common.collect_garbage(spark)
     model = train(docs)
     if not model.languages:
         return docs
@@ -47,12 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more.
 
     The one with the least doc_id stays; of rows equal in id and text one; rows without an id all stay, as do texts without words."""
+    common.collect_garbage(spark)
     return without_near_duplicates(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of personal data and secrets, and of terms that disclose them; n_chars follows the text. A null
     text stays null; repeated rows are treated alike."""
+    common.collect_garbage(spark)
     own = {x: f"_pipeline_{x}" for x in docs.columns if x.lower() in ("base", "named", "spans", "removed")}  # names that find() gives
     clean = find(docs.withColumnsRenamed(own)).withColumn("text", sanitised("text"))
     clean = clean.withColumn("n_chars", F.length("text").cast("long"))
@@ -62,11 +65,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix of sources takes it; a null source is a source. Documents without words are never taken;
     rows of one id as often as the most taken of them."""
+    common.collect_garbage(spark)
     return materialise(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences; a document that comes twice has its pieces twice. An empty one is a piece of one token."""
+    common.collect_garbage(spark)
     return best_fit_packing(docs)
 
 

@@ -124,6 +124,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, one small task a core: a heap that grew for one stage goes back to the system, so that
+    it isn't held beside the next one's Python workers. What is in use stays; an executor that gets no task keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -764,6 +764,19 @@ def test_pipeline(spark, docs, tmp_path):
     assert packed.select("doc_id").distinct().count() == len({x.doc_id for x in kept[3]})
 
 
+def test_pipeline_stages_begin_with_a_collection_of_garbage(spark, docs):
+    """So that no stage has to hold the heap that another one grew; here tasks run in the driver's JVM."""
+    beans = spark._jvm.java.lang.management.ManagementFactory
+
+    def full() -> int:
+        return sum(x.getCollectionCount() for x in beans.getGarbageCollectorMXBeans() if "Young" not in x.getName() and x.getName() != "Copy")
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before, name
+
+
 def test_pipeline_on_odd_tables(spark, docs, tmp_path):
     """Empty tables, tables of nulls, repeated rows, and columns whose names the operators use, through all stages."""
     rows = docs.collect()
