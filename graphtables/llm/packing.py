@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cached, cut, only, shuffle_partitions, slices
-from .pretokens import codec, split_batch
+from .pretokens import encode_parts, split_batch
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
@@ -31,17 +31,17 @@ cached(__name__, _ids.clear)
 
 
 def encode_batch(texts: pa.Array, path: str) -> list[bytes]:
-    """The ids of each whole text, little-endian unsigned 32-bit, each distinct pre-token encoded once per worker."""
-    encode = codec(path)
+    """The ids of each whole text, little-endian unsigned 32-bit. Each distinct pre-token of the texts is encoded once, all that aren't
+    kept from earlier ones together."""
     rows, parts, keys = split_batch(texts)
-    own = []
-    for key in keys:
-        ids = _ids.get(key)
-        if ids is None:
-            ids = np.array(encode(key), np.uint32).tobytes()
-            if len(_ids) < CACHE:  # those met first are the frequent ones
-                _ids[key] = ids
-        own.append(ids)
+    own = list(map(_ids.get, keys))
+    new = [i for i, ids in enumerate(own) if ids is None]
+    flat, lengths = encode_parts([keys[i] for i in new], path)
+    raw, ends = flat.tobytes(), (4 * np.cumsum(lengths)).tolist()
+    for i, a, b in zip(new, [0, *ends], ends, strict=False):
+        own[i] = raw[a:b]
+    for i in new[: max(0, CACHE - len(_ids))]:  # those met first are the frequent ones
+        _ids[keys[i]] = own[i]
     lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
     flat = np.frombuffer(b"".join(own), np.uint32)
     starts = np.cumsum(lengths) - lengths

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -25,6 +26,8 @@ _HARD = rf"[{_BLANKS}] | [{_BLANKS}]|<\|endoftext\|>|\x00"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters on whose classes all Unicode versions agree.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xff]*")
+#: Pre-tokens that can be encoded one after another as a single text: a blank, then such characters without any.
+_ROW = re.compile(r" [\x21-\x7e\xc0-\xff]+")
 
 
 def _parts(text: str) -> list[str]:
@@ -49,7 +52,7 @@ def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     encoded = lists.flatten().dictionary_encode()
     rows = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
     numbers = np.asarray(encoded.indices, dtype=np.int32)
-    keys = [x[1:] if x[:1] == FIRST else " " + x for x in encoded.dictionary.to_pylist()]
+    keys = [x[1:] if x[:1] == FIRST else " " + x for x in encoded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     which = np.flatnonzero(np.asarray(hard))
     if len(which):
         seen: dict[str, int] = {}
@@ -67,17 +70,24 @@ def split_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str):
-    """Encoder of single pre-tokens to arrays of ids, made once per Python worker from the library's vocabulary file; the library's own
-    tokenizer only where a pre-token needs it."""
+def _fast(path: str):
+    """The encoder made from the library's vocabulary file, and the bytes of each id."""
     import public_tokenizers
     import tiktoken
 
     plain = tokenizer_path(path.replace(".json", ".tiktoken"))
     with open(plain, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("pretokens", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = []
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = list(map(len, ranks))
+    return tiktoken.Encoding("pretokens", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+
+
+@functools.lru_cache(maxsize=2)
+def codec(path: str):
+    """Encoder of single pre-tokens to arrays of ids, made once per Python worker from the library's vocabulary file; the library's own
+    tokenizer only where a pre-token needs it."""
+    fast, whole = _fast(path)[0], []
 
     def encode(part: str) -> list[int]:
         if part == SPECIAL or not _PLAIN.fullmatch(part):
@@ -91,4 +101,32 @@ def codec(path: str):
     return encode
 
 
-cached(__name__, codec.cache_clear)
+def encode_parts(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pre-tokens, one after another, and how many each has.
+
+    Those that are a blank and a plain word are encoded as one text, as the blank always begins a piece: each ends where an id's bytes
+    begin with the next blank."""
+    fast, size = _fast(path)
+    in_row = np.array(list(map(_ROW.fullmatch, parts)), object).astype(bool)
+    counts = np.zeros(len(parts), np.int64)
+    encode = codec(path)
+    others = [encode(parts[i]) for i in np.flatnonzero(~in_row).tolist()]
+    counts[~in_row] = list(map(len, others))
+    text = "".join(itertools.compress(parts, in_row.tolist()))
+    ids = np.array(fast.encode_ordinary(text), np.uint32)
+    starts = np.cumsum(size[ids]) - size[ids]
+    begins = np.flatnonzero(np.frombuffer(text.encode(), np.uint8)[starts] == ord(" "))
+    counts[in_row] = np.diff(np.append(begins, len(ids)))
+    flat = np.empty(int(counts.sum()), np.uint32)
+    of_row = np.repeat(in_row, counts)
+    flat[of_row] = ids
+    flat[~of_row] = [y for x in others for y in x]
+    return flat, counts
+
+
+def _clear() -> None:
+    codec.cache_clear()
+    _fast.cache_clear()
+
+
+cached(__name__, _clear)

@@ -11,6 +11,7 @@ from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -109,6 +110,25 @@ def test_packing(docs, none):
     assert packing.best_fit_packing(none).count() == 0
 
 
+def test_pretokens_are_encoded_together(monkeypatch):
+    whole, path, alone = library(), "byte_bpe_50k.json", []
+    encode = pretokens.codec(path)
+    monkeypatch.setattr(pretokens, "codec", lambda path: lambda x: alone.append(x) or encode(x))
+    parts = ["", " ", "foo", " foo", " don't", "'s", " 's", " a\nb", " a\n", " ", " naïve", " Ärger×2", " \xaa", " 你好", pretokens.SPECIAL, " <|endof", " text|>", " 1234567", " …", " \x1c", "\x00", " x" * 3, " ÿ", " !?"]
+    flat, counts = pretokens.encode_parts(parts, path)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [whole.encode(x, add_special_tokens=False).ids for x in parts]
+    assert set(alone) == {"", " ", "foo", "'s", " a\nb", " a\n", " \xaa", " 你好", pretokens.SPECIAL, " …", " \x1c", "\x00", " x x x"}
+    alone.clear()
+    monkeypatch.setattr(packing, "CACHE", 5)
+    packing._ids.clear()
+    texts = [sentence(i, 40) + odd for i, odd in enumerate(["", "  two\n\n ", " naïve été 你好 …", pretokens.SPECIAL + " x", " l'été\u2003we'll"])] + [None, "", " "]
+    for _ in range(2):
+        have = packing.encode_batch(pa.array(texts), path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in have] == [whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(packing._ids) == 5 and len(alone) < 40
+    packing._ids.clear()
+
+
 def test_bins_best_fit_and_fullest_closes():
     bins = packing.Bins(10, 2)
     assert [bins.put(x) for x in (6, 7, 3, 4, 9, 8)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0)]
