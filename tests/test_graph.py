@@ -573,3 +573,32 @@ def test_user_sampling_and_fractions(spark):
     rows = spark.range(1000)
     kept, others = (ids(sampling.keep_fraction(rows, 0.3, "id", legacy_inverted=x), "id") for x in (False, True))
     assert sorted(kept + others) == list(range(1000)) and 250 < len(kept) < 350 and ids(sampling.keep_fraction(rows, 1.0, "id", legacy_inverted=True), "id") == list(range(1000))
+
+
+def test_push_rounds_write_what_they_reach(spark):
+    r = random.Random(7)
+    pairs = sorted({(a, b) for i in range(120) for j in r.sample(range(40), 6) for a, b in ((i, 1000 + j), (1000 + j, i))} | {(5, 5)})
+    e, seeds = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in range(60)], "node_id long")
+    rounds = ppr.push_rounds(e, seeds, epsilon=1e-2).cache()
+    n = dict(rounds.groupBy("round").count().collect())
+    assert max(n) >= 2 and n[max(n)] < rounds.select("seed", "node_id").distinct().count() / 2
+    # the state by plain rounds over dictionaries
+    near = defaultdict(list)
+    for a, b in pairs:
+        near[a].append(b)
+    want = {}
+    for s in range(60):
+        score, residual, hop = defaultdict(float), defaultdict(float, {s: 0.5}), {s: 0}
+        while todo := {v: x for v, x in residual.items() if x > 0 and x >= 0.5 * 1e-2 * len(near[v])}:
+            for v, x in todo.items():
+                score[v] += x
+                residual[v] -= x
+            for v, x in todo.items():
+                for u in near[v]:
+                    residual[u] += x * 0.5 / len(near[v])
+                    hop[u] = min(hop.get(u, 99), hop[v] + 1)
+        want |= {(s, v): (score[v], residual[v], hop[v]) for v in hop}
+    got = {(x.seed, x.node_id): (x.score, x.residual, x.hop) for x in ppr._latest(rounds).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    a, b = (sorted((x.seed, x["rank"], x.node_id) for x in df.collect()) for df in (ppr.top_pushed(rounds, 30), ppr.top_ppr(ppr._latest(rounds), 30)))
+    assert a == b and len(a) > 60
