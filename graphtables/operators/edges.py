@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import feature_array
-from ..plans.scratch import materialize
+from ..plans.scratch import dealt, materialize, shuffle_tasks
 
 
 def load_nodes(df: DataFrame, key: str, features: list[str], node_type: int = 0) -> DataFrame:
@@ -183,10 +183,12 @@ def without_relations(edges: DataFrame, *suffixes: str) -> DataFrame:
 def slotted_join(left: DataFrame, right: DataFrame, on: str, slots: int, how: str = "inner") -> DataFrame:
     """The join as ``slots`` smaller ones by the key's hash slot, each its own unit of shuffle; the same rows as one join.
 
-    Both sides are kept in folders by slot, so each is read from its source once, and each smaller join reads its folders alone."""
-    at = F.pmod(F.xxhash64(on), F.lit(slots)).cast("int")
-    a, b = (materialize(x.withColumn("_slot", at).repartition("_slot"), "slots", by="_slot") for x in (left, right))
-    return union_types(*[a.where(F.col("_slot") == i).drop("_slot").join(b.where(F.col("_slot") == i).drop("_slot"), on, how) for i in range(slots)])
+    Both sides are kept in folders by slot, so each is read from its source once, and each smaller join reads its folders alone. Slots are
+    written, and joined, by as many tasks as their bytes need."""
+    at, n = F.pmod(F.xxhash64(on), F.lit(slots)).cast("int"), -(-max(shuffle_tasks(left), shuffle_tasks(right)) // slots)
+    a, b = (materialize(x.withColumn("_slot", at).repartition(shuffle_tasks(x), on), "slots", by="_slot") for x in (left, right))
+    one = lambda x, i: dealt(x.where(F.col("_slot") == i).drop("_slot"), on, tasks=n)
+    return union_types(*[one(a, i).join(one(b, i), on, how) for i in range(slots)])
 
 
 def merge_graphs(graphs: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-#: Bytes of the files read (compressed, half a million to a million rows of edges) whose rows one task of a shuffle gets.
-BYTES_A_TASK = 8 << 20
+#: Bytes of the files read (compressed: some 300,000 order lines, or a million rows of two ids) whose rows one task of a shuffle gets.
+BYTES_A_TASK = 4 << 20
 #: Folders of this process's tables, by session, removed when the process ends.
 _made: list[tuple[SparkSession, str]] = []
 
@@ -41,10 +41,10 @@ def shuffle_tasks(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // BYTES_A_TASK))
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
+def dealt(df: DataFrame, *by: str, tasks: int | None = None) -> DataFrame:
     """``df`` dealt by columns among as many tasks as its input needs, so that a task's share doesn't grow with the input; unchanged where one
     task a core is enough. What groups, joins or ranks by these columns afterwards needs no other shuffle."""
-    n = shuffle_tasks(df)
+    n = tasks or shuffle_tasks(df)
     return df.repartition(n, *by) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 

@@ -602,3 +602,15 @@ def test_push_rounds_write_what_they_reach(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     a, b = (sorted((x.seed, x["rank"], x.node_id) for x in df.collect()) for df in (ppr.top_pushed(rounds, 30), ppr.top_ppr(ppr._latest(rounds), 30)))
     assert a == b and len(a) > 60
+
+
+def test_slots_are_dealt_by_their_size(spark, monkeypatch):
+    from graphtables.plans import scratch
+
+    monkeypatch.setattr(scratch, "BYTES_A_TASK", 1 << 13)
+    left = scratch.materialize(spark.range(20_000).selectExpr("id % 5000 AS k", "id AS a"))
+    right = scratch.materialize(spark.range(5000).selectExpr("id AS k", "id * 2 AS b"))
+    met = E.slotted_join(left, right, "k", 2)
+    assert met.count() == 20_000 and met.where("b <> 2 * k").count() == 0
+    parts = met.groupBy(F.spark_partition_id().alias("p")).count()
+    assert parts.count() > 8 and parts.agg(F.max("count")).first()[0] < 5000  # not a task a slot
