@@ -85,8 +85,9 @@ def reverse_typed(edges: DataFrame) -> DataFrame:
 
 def bidirect(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, one row for each (src, dst); of conflicting rows the one with the least other columns stays."""
-    both = edges.unionByName(reverse(edges))
     rest = [c for c in edges.columns if c not in ("src", "dst")]
+    ends = F.inline(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = dealt(edges.select(ends, *rest), "src", "dst")
     if not rest:
         return both.distinct()
     kept = both.groupBy("src", "dst").agg(F.min(F.struct(*rest)).alias("_x"))

@@ -41,11 +41,20 @@ def shuffle_tasks(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // BYTES_A_TASK))
 
 
-def dealt(df: DataFrame, *by: str, tasks: int | None = None) -> DataFrame:
-    """``df`` dealt by columns among as many tasks as its input needs, so that a task's share doesn't grow with the input; unchanged where one
-    task a core is enough. What groups, joins or ranks by these columns afterwards needs no other shuffle."""
+def dealt(df: DataFrame, *by: str, tasks: int | None = None, always: bool = False) -> DataFrame:
+    """``df`` dealt by columns among as many tasks as its input needs, so that a task's share doesn't grow with the input; where one task
+    a core is enough, unchanged, or with ``always`` dealt as Spark sees fit. What groups, joins or ranks by these columns afterwards needs no
+    other shuffle."""
     n = tasks or shuffle_tasks(df)
-    return df.repartition(n, *by) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    if n > df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(n, *by)
+    return df.repartition(*by) if always else df
+
+
+def dealt_alike(a: DataFrame, b: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join, dealt by its keys among as many tasks as the greater needs."""
+    n = max(shuffle_tasks(a), shuffle_tasks(b))
+    return dealt(a, *by, tasks=n), dealt(b, *by, tasks=n)
 
 
 def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
@@ -53,11 +62,15 @@ def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> Da
 
     It is computed once, its lineage ends there, and it survives lost executors; its size is known from its files, so plans over
     it, in loops too, get honest estimates."""
+    if getattr(df, "_is_table", False) and not by:
+        return df
     spark = df.sparkSession
     folder = new_folder(spark)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(f"{folder}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    table._is_table = True  # is not written again
+    return table
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ from .operators import edges as E
 from .operators import enumeration, partitioning, positional, ppr, sampling, splitting, statistics, subgraphs
 from .plans.config import GraphMetadata
 from .plans.graph import GraphTables, split_all
-from .plans.scratch import materialize
+from .plans.scratch import dealt, materialize, shuffle_tasks
 from .sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,10 +33,17 @@ def query(sql: str | None = None):
     return put
 
 
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with their orders; both sides dealt by their keys among as many tasks as they need together."""
+    line, orders = S.table(spark, d, "lineitem"), S.table(spark, d, "orders")
+    n = max(shuffle_tasks(line), shuffle_tasks(orders))
+    return dealt(line, "l_orderkey", tasks=n).join(dealt(orders, "o_orderkey", tasks=n), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def bought(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, weight, n): customers and the parts they ordered."""
-    rows = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy(F.col("o_custkey").alias("src"), E.reindex("l_partkey", PARTS).alias("dst")).agg(F.sum("l_quantity").alias("weight"), F.count("*").alias("n"))
+    rows = order_lines(spark, d).select(F.col("o_custkey").alias("src"), E.reindex("l_partkey", PARTS).alias("dst"), "l_quantity")
+    return dealt(rows, "src", "dst").groupBy("src", "dst").agg(F.sum("l_quantity").alias("weight"), F.count("*").alias("n"))
 
 
 BOUGHT = f"SELECT o_custkey AS src, {PARTS} + l_partkey AS dst, SUM(l_quantity) AS weight, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
@@ -113,9 +120,9 @@ def load_edges(spark, d):
 
 def typed_parts(spark, d):
     """Edge tables by (type, usage): ids of customers, parts and suppliers all begin at 1."""
-    line = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    own = line.groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("n"))
-    made = line.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("n"))
+    line = order_lines(spark, d)
+    own = dealt(line.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")), "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    made = dealt(S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     return {
         (("customer", "buys", "part"), "main"): own, (("part", "bought_by", "customer"), "main"): E.reverse(own),
         (("supplier", "supplies", "part"), "main"): made, (("part", "supplied_by", "supplier"), "main"): E.reverse(made),

@@ -614,3 +614,29 @@ def test_slots_are_dealt_by_their_size(spark, monkeypatch):
     assert met.count() == 20_000 and met.where("b <> 2 * k").count() == 0
     parts = met.groupBy(F.spark_partition_id().alias("p")).count()
     assert parts.count() > 8 and parts.agg(F.max("count")).first()[0] < 5000  # not a task a slot
+
+
+def test_shuffles_are_dealt_by_their_input(spark, monkeypatch):
+    from graphtables.plans import scratch
+
+    edges = scratch.materialize(spark.range(30_000).selectExpr("id % 700 AS src", "1000 + id * 7 % 900 AS dst", "float(id) AS w"))
+    few = E.bidirect(edges).collect()
+    monkeypatch.setattr(scratch, "BYTES_A_TASK", 1 << 13)
+    want = scratch.shuffle_tasks(edges)
+    assert want > 8 and scratch.shuffle_tasks(edges.unionByName(edges)) >= 2 * want - 1
+    both = E.bidirect(edges)
+    assert both.rdd.getNumPartitions() == want and sorted(both.collect()) == sorted(few)
+    assert E.bidirect(edges.select("src", "dst")).rdd.getNumPartitions() == want
+    for sampled in (sampling.one_hop(edges, 3), sampling.numbered_neighbors(edges)):  # one shuffle: of ids, not of their hashes
+        assert sampled.rdd.getNumPartitions() == want
+        assert sampled._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    rows = edges.select(F.col("src").alias("root"), "src", "dst")
+    full = edges.select("src", "dst", F.lit(0).alias("edge_type"), F.array("w").alias("features"))
+    assert subgraphs.hydrate_edges(rows, full).rdd.getNumPartitions() > 8
+
+
+def test_a_table_is_not_written_again(spark):
+    from graphtables.plans.scratch import materialize
+
+    table = materialize(spark.range(5))
+    assert materialize(table) is table and materialize(table.where("id > 1")) is not table
